@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirflow.llm.common import table
 
 
+def op2_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.hilbert import shard
+
+    out = shard(table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.simhash import near_duplicates
 
