@@ -10,12 +10,28 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import table
 
 
+def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm import fingerprint
+
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.compare_edits(docs, fingerprint.rarity(docs))
+
+
 def op2_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirflow.llm.packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return out.withColumn("tokens", F.crc32("tokens")).withColumnRenamed("tokens", "ids_crc32")
+
+
 def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.hilbert import shard
 
