@@ -13,7 +13,30 @@ from pyspark.sql import functions as F
 STEP_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session."""
+    import os
+    import zipfile
+
+    import weirflow
+
+    sc = spark.sparkContext
+    if getattr(sc, "_weirflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(weirflow.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="weirflow-"), "weirflow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("weirflow", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._weirflow_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +55,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator works on, so that other columns can't clash; null texts become empty."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 

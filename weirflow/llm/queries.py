@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import table
+from weirflow.llm.common import crc_mod, table
 
 
 def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,29 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op10_segmentation_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirflow.llm import langid
+
+    docs, path = table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.learn(docs, crc_mod("doc_id", 4) != 2, path)
+    out = langid.identify(docs, model, path)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
 
