@@ -23,6 +23,14 @@ def op2_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.classify(docs, quality.learn(docs, labels.where(crc_mod("doc_id", 3) != 1)))
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
