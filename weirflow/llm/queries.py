@@ -53,6 +53,12 @@ def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(20)) == 0, top=20)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.simhash import near_duplicates
 
