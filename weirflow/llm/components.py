@@ -31,8 +31,8 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links -> (node, root): root is the same for all nodes that links connect.
 
-    Every round maps each node to its smallest neighbour, follows that once more, rewrites the
-    links between the survivors and drops repeats, so the links shrink round by round. Nothing but
+    Every round maps each node to its smallest neighbour and on to the end of that chain, rewrites the
+    links between the ends and drops repeats: at least half the linked nodes go in each round. Nothing but
     a row count comes to the driver. Nodes without links have no row; an empty input gives no rows;
     links of a node to itself and repeated links change nothing.
     """
@@ -41,8 +41,13 @@ def components(edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        onto = low.select(F.col("u").alias("m"), F.col("m").alias("m2"))
-        hop = saved(low.join(onto, "m").select(F.col("u").alias("node"), F.col("m2").alias("root")))
+        hop = low.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        while True:  # follow to the end: doubling, so a chain takes the logarithm of its length
+            onto = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            far = saved(hop.join(onto, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            hop = far.select("node", "root")
+            if far.where("moved").isEmpty():
+                break
         if roots is None:
             roots = hop
         else:
