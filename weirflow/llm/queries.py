@@ -47,6 +47,14 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op6_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirflow.llm.wordpiece import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.licenses import scan
 

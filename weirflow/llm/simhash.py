@@ -6,6 +6,10 @@ whose half counts differ by more than the radius in sum differ in more bits than
 tile pairs are never formed; all others are compared exactly with numpy exclusive-or and bit counts.
 Each tile pair reports a spanning forest of its links, never all pairs of a group.
 
+With `similarity`, the radius only proposes: what it connects is compared anew, tile by tile within each
+proposed component, by the exact Jaccard similarity of the sets of shingles, and only links that reach
+it count. Shingles stand as their 64-bit hashes there.
+
 Null and empty texts have no shingle: fingerprint zero, linked like any other. Equal rows get equal
 results. An empty table gives no rows. Only the id and text columns are read, so others can't clash.
 """
@@ -27,31 +31,41 @@ TILE, GROUP = 8192, 16
 SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int, bits: int) -> bytes:
-    """The fingerprint of one UTF-8 text; words are runs of non-white-space, A-Z lower-cased."""
+def shingles(text: bytes, shingle: int) -> list[bytes]:
+    """The word shingles of one UTF-8 text; words are runs of non-white-space, A-Z lower-cased."""
     words = text.translate(LOWER).split()
     if not words:
-        return bytes(bits // 8)
+        return []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     starts, ends = starts[:n].tolist(), ends[len(words) - n :].tolist()
-    out = []
+    return [joined[s:e] for s, e in zip(starts, ends, strict=True)]
+
+
+def fingerprint(text: bytes, shingle: int, bits: int, repeats: bool = True) -> bytes:
+    """The fingerprint of one UTF-8 text, from all its shingles or (without repeats) from the different ones."""
+    found = shingles(text, shingle)
+    if not found:
+        return bytes(bits // 8)
+    if not repeats:
+        found = list(set(found))
+    n, out = len(found), []
     for word in range(bits // 64):
         ones, seed, digest = np.zeros(64, np.int64), SEED + word, xxhash.xxh64_digest
         for at in range(0, n, 1 << 15):
-            raw = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)], strict=True)])
+            raw = b"".join([digest(x, seed) for x in found[at : at + (1 << 15)]])
             ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(np.packbits(2 * ones > n).tobytes())
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (binary), pa and pb (ones in its first and second half): a narrow map over the texts."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(t, shingle, bits) for t in utf8(batch.column("text"))]
+        fps = [fingerprint(t, shingle, bits, repeats) for t in utf8(batch.column("text"))]
         ones = np.bitwise_count(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), 2, -1)).sum(axis=2, dtype=np.int32)
         return pa.record_batch([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(ones[:, 0]), pa.array(ones[:, 1])], ["doc_id", "fp", "pa", "pb"])
 
@@ -87,6 +101,11 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndar
 
 def links(fps: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     """(u, v): links of different fingerprints that connect all within the radius. fps: fp, pa, pb, one row each."""
+    # Cells of one count each prune where the radius is small; for larger ones cells as wide as the radius
+    # do: counts of cells apart by over one differ beyond it.
+    wide = 1 if radius <= 8 else radius + 1
+    reach = radius if wide == 1 else 2
+    fps = fps.select("fp", F.expr(f"pa div {wide}").cast("int").alias("pa"), F.expr(f"pb div {wide}").cast("int").alias("pb"))
     cells = fps.groupBy("pa", "pb").agg(F.ceil(F.count("*") / TILE).cast("int").alias("subs"))
     tiles = (
         fps.join(cells, ["pa", "pb"])
@@ -96,7 +115,7 @@ def links(fps: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     )
     tiles = saved(tiles)
     # Half of the offsets suffice: the other half are the same pairs the other way round.
-    offsets = [(x, y) for x in range(radius + 1) for y in range(-radius, radius + 1) if x + abs(y) <= radius and (x > 0 or y >= 0)]
+    offsets = [(x, y) for x in range(reach + 1) for y in range(-reach, reach + 1) if (x + abs(y) <= reach if wide == 1 else max(x, abs(y)) <= 1) and (x > 0 or y >= 0)]
     offset = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in offsets]))
     left = tiles.select(F.col("fps").alias("a"), "pa", "pb", F.col("sub").alias("sub_a"), offset.alias("o"))
     left = left.select("a", "sub_a", (F.col("pa") + F.col("o.x")).alias("pa"), (F.col("pb") + F.col("o.y")).alias("pb"), (F.expr("o.x = 0 AND o.y = 0")).alias("same"))
@@ -119,11 +138,76 @@ def links(fps: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     return pairs.mapInArrow(compare, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links)."""
-    fps = saved(fingerprints(docs, shingle, bits, id_col, text_col))
+def alike(a: list[bytes], b: list[bytes], similarity: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As near(), of sets of shingle hashes (sorted, packed) whose Jaccard similarity reaches the threshold."""
+    sets = [np.frombuffer(x, np.uint64) for x in (a if same else a + b)]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of one set alone are in no intersection.
+    shared = counts > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    owner, column = owner[kept], place[column[kept]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    cut = 0 if same else len(a)
+    common = np.zeros((len(a), len(sets) - cut), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        common += part[: len(a)] @ part[cut:].T
+    whole = sizes[: len(a), None] + sizes[None, cut:] - common
+    u, v = np.nonzero(common >= similarity * whole - 1e-6)
+    v = v + cut
+    u, v = u[u < v], v[u < v]
+    return forest(u, v, len(sets)) if len(u) else (u, v)
+
+
+#: Sets and shingle hashes in one tile of the exact comparison.
+SETS, HASHES = 1024, 1 << 20
+
+
+def verified(docs: DataFrame, unique: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links within proposed components that reach the similarity. docs: doc_id and text."""
+    chosen = unique.select(F.col("fp").alias("node"), F.col("rep").alias("doc_id")).join(roots, "node")
+    texts = docs.join(chosen, "doc_id").dropDuplicates(["node"])
+
+    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles(t, shingle)]), np.uint64)) for t in utf8(batch.column("text"))]
+        return pa.record_batch([batch.column("root"), batch.column("node"), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(list(map(len, raw)), pa.int64())], ["root", "node", "hashes", "n"])
+
+    sets = saved(map_steps(texts.select("root", "node", "text"), hashes, "root binary, node binary, hashes binary, n long"))
+    parts = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / HASHES)).cast("int").alias("parts"))
+    tiles = sets.join(parts, "root").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).groupBy("root", "sub", "parts").agg(F.collect_list(F.struct("node", "hashes")).alias("rows"))
+    tiles = saved(tiles)
+    left = tiles.select("root", F.col("sub").alias("sub_a"), F.col("rows").alias("a"), F.explode(F.sequence("sub", F.col("parts") - 1)).alias("sub"))
+    pairs = left.join(tiles.select("root", "sub", F.col("rows").alias("b")), ["root", "sub"]).select("a", "b", (F.col("sub_a") == F.col("sub")).alias("same"))
+
+    def compare(batches):
+        for batch in batches:
+            for a, b, same in zip(batch.column("a"), batch.column("b"), batch.column("same").to_pylist(), strict=True):
+                names, held = ([x.values.field(k).to_pylist() for x in ([a] if same else [a, b])] for k in ("node", "hashes"))
+                u, v = alike(held[0], held[-1], similarity, same)
+                names = [n for x in names for n in x]
+                if len(u):
+                    yield pa.record_batch([pa.array([names[i] for i in u], pa.binary()), pa.array([names[i] for i in v], pa.binary())], ["u", "v"])
+
+    return pairs.mapInArrow(compare, "u binary, v binary")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, bits: int = 64, repeats: bool = True, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links).
+
+    similarity: links must reach this Jaccard similarity of shingle sets too; documents of equal
+    fingerprint count as one there, and those without an id propose no links.
+    """
+    fps = saved(fingerprints(docs, shingle, bits, repeats, id_col, text_col))
     unique = fps.groupBy("fp", "pa", "pb").agg(F.min("doc_id").alias("rep"))
     roots = components(links(unique, radius, bits))
+    if similarity is not None:
+        roots = components(verified(texts_of(docs, id_col, text_col), unique, roots, shingle, similarity))
     linked = unique.select(F.col("fp").alias("node"), "rep").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
