@@ -1,15 +1,100 @@
-"""The corpus pipeline: documents in, packed windows out."""
+"""The corpus pipeline: quality, language, near-duplicates, source mix, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return
+the columns of documents. run() writes each stage's rows to the shared checkpoint folder and reads them
+back, so that a lost executor costs one stage's tasks and nothing is computed twice.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weirflow.llm import langid, packing, quality, simhash
+from weirflow.llm.common import ensure_checkpoint_dir, ship, table
+from weirflow.llm.mixing import mix
+
+#: The similarity of near copies, and the radius (of 128 bits) within which SimHash proposes them.
+SIMILARITY, RADIUS, BITS, SHINGLE = 0.8, 32, 128, 5
+PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model, learned from the labels of these documents, finds likelier good than bad.
+
+    Without labels of both classes nothing is rejected. Repeated rows are judged alike.
+    """
+    ship(spark)
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id")).where("score >= 0.5").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without text or letters go, and those no language gets half of the belief for.
+
+    Where no language could be learned nothing is rejected.
+    """
+    ship(spark)
+    path = str(public_tokenizers.path(PIECES))
+    model = langid.learn(docs, F.lit(True), path)
+    if not model[0]:
+        return docs
+    found = langid.identify(docs, model, path, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return found.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document of smallest id; of repeated rows one.
+
+    Rows without an id stay unless they have a copy with one.
+    """
+    ship(spark)
+    groups = simhash.near_duplicates(docs, SHINGLE, RADIUS, BITS, repeats=False, similarity=SIMILARITY)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in whole; the last time cut to the words that are left of the quota."""
+    ship(spark)
+    rows = mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source"))).where("taken > 0")
+    rows = rows.withColumn("_copy", F.explode(F.expr("sequence(1L, (taken + size - 1) div size)")))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words), "")
+    rows = rows.withColumn("_cut", words < F.col("size"))
+    rows = rows.withColumn("text", F.when(F.col("_cut"), some).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token runs of all documents in windows of 2048; see weirflow.llm.packing."""
+    ship(spark)
+    return packing.pack(docs, str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", source_mix),
+    ("packing", pack),
+]
+#: SQL can't express the trained stages; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
     return docs
