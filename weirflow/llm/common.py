@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handed to one vectorised step; larger Arrow batches are cut, so memory doesn't follow the batch.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session."""
+    """Send this package to the executors' Python workers, once, and bound the bytes of an Arrow batch."""
     import os
     import zipfile
 
     import weirflow
 
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # the default; rows here may hold megabytes each
+        spark.conf.set(BATCH_BYTES, "8m")
     sc = spark.sparkContext
     if getattr(sc, "_weirflow_shipped", False):
         return

@@ -29,61 +29,101 @@ PART, LONGEST, CACHE = 32, 16, 300_000
 LETTER = regex.compile(r"\p{L}")
 
 
+class Trie:
+    """Pieces as a trie in an open-addressing table of numpy arrays, looked up for many places at once."""
+
+    def __init__(self, pieces: list[str]):
+        self.n = len(pieces)
+        following: dict[int, int] = {}
+        ids = [-1]
+        for i, piece in enumerate(pieces):
+            u = 0
+            for c in piece:
+                u = following.setdefault(u << 21 | ord(c), len(ids))
+                if u == len(ids):
+                    ids.append(-1)
+            ids[u] = i
+        self.ids = np.array(ids, np.int32)
+        keys, nodes = np.array(list(following), np.int64), np.array(list(following.values()), np.int32)
+        self.bits = max(4, 3 + len(keys).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        at = self.slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at] == keys
+            self.nodes[at[placed]] = nodes[placed]
+            keys, nodes, at = keys[~placed], nodes[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The node that each code point leads to, or -1."""
+        keys = nodes.astype(np.int64) << 21 | codes
+        at = self.slot(keys)
+        held, out = self.keys[at], self.nodes[at]
+        out[held != keys] = -1
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.nodes[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, int], frozenset[str], int]:
-    """Piece -> id, all proper prefixes of pieces, and the number of ids; the pieces are cased as they are, sought lower-cased."""
+def vocabulary(path: str) -> Trie:
+    """The ordinary pieces of a sentencepiece model, of at most LONGEST characters."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    ids: dict[str, int] = {}
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(piece) <= LONGEST:
-            ids.setdefault(piece, len(ids))
-    return ids, frozenset(p[:n] for p in ids for n in range(1, len(p))), len(ids)
+    ordinary = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+    return Trie(sorted({p for p in map(model.id_to_piece, ordinary) if len(p) <= LONGEST}))
 
 
 def parts(text: str) -> list[str]:
     """The words of a text as they are scored, with a mark where a word begins."""
-    out = []
-    for word in text.lower().split():
-        word = "▁" + word
-        if len(word) <= PART:
-            out.append(word)
-        else:
-            out += [word[i : i + PART] for i in range(0, len(word), PART)]
-    return out
+    words = ["▁" + word for word in text.lower().split()]
+    if max(map(len, words), default=0) > PART:
+        words = [word[i : i + PART] for word in words for i in range(0, len(word), PART)]
+    return words
 
 
 class Lattice:
     """All pieces in a list of words: edges (word, start, end, piece), grouped by end. Piece `n` is the floor."""
 
-    def __init__(self, words: list[str], ids: dict[str, int], prefixes: frozenset[str], n: int):
-        word, start, end, piece = [], [], [], []
-        for w, text in enumerate(words):
-            size = len(text)
-            for i in range(size):
-                known = False
-                for j in range(i + 1, size + 1):
-                    part = text[i:j]
-                    k = ids.get(part)
-                    if k is not None:
-                        word.append(w)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(k)
-                        known |= j == i + 1
-                    if part not in prefixes:
-                        break
-                if not known:
-                    word.append(w)
-                    start.append(i)
-                    end.append(i + 1)
-                    piece.append(n)
+    def __init__(self, words: list[str], trie: Trie):
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.array(end, np.int32)
-        by = np.argsort(end, kind="stable")
-        self.word, self.start, self.piece, self.end = (np.array(x, np.int32)[by] for x in (word, start, piece, end))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), self.lengths)
+        start_of = np.arange(len(codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        left = np.repeat(self.lengths, self.lengths) - start_of
+        alive, node = np.arange(len(codes)), np.zeros(len(codes), np.int32)
+        floor = np.ones(len(codes), bool)
+        at, size, piece = [], [], []
+        for n in range(1, LONGEST + 1):
+            more = left[alive] >= n
+            alive, node = alive[more], node[more]
+            node = trie.step(node, codes[alive + n - 1])
+            alive, node = alive[node >= 0], node[node >= 0]
+            if not len(alive):
+                break
+            ids = trie.ids[node]
+            found = ids >= 0
+            at.append(alive[found])
+            size.append(np.full(int(found.sum()), n))
+            piece.append(ids[found])
+            if n == 1:
+                floor[at[-1]] = False
+        rest = np.flatnonzero(floor)
+        at, size = np.concatenate([*at, rest]), np.concatenate([*size, np.ones(len(rest), np.int64)])
+        piece = np.concatenate([*piece, np.full(len(rest), trie.n, np.int32)])
+        end = start_of[at] + size
+        by = np.argsort(end.astype(np.int16), kind="stable")
+        self.word, self.start, self.end, self.piece = word_of[at][by], start_of[at][by], end[by], piece[by]
         self.most = int(self.lengths.max(initial=0))
         self.cuts = np.searchsorted(self.end, np.arange(self.most + 2))
 
@@ -119,12 +159,13 @@ class Lattice:
 
 def fit(samples: dict[str, Counter], path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (piece, language), from word counts."""
-    ids, prefixes, n = vocabulary(path)
+    trie = vocabulary(path)
+    n = trie.n
     names = sorted(samples, key=lambda s: s.encode())
     columns = []
     for name in names:
         words = list(samples[name])
-        lattice, counts = Lattice(words, ids, prefixes, n), np.array([samples[name][w] for w in words], float)
+        lattice, counts = Lattice(words, trie), np.array([samples[name][w] for w in words], float)
         p = np.full((n + 1, 1), 1 / n)
         p[n] = FLOOR
         for _ in range(rounds):
@@ -163,7 +204,7 @@ class Scorer:
     """Scores texts; likelihoods of words are kept, up to CACHE of them."""
 
     def __init__(self, names: list[str], p: np.ndarray, path: str):
-        self.names, self.p, self.parts = names, p, vocabulary(path)
+        self.names, self.p, self.trie = names, p, vocabulary(path)
         self.clear()
 
     def clear(self):
@@ -173,7 +214,7 @@ class Scorer:
     def add(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            values = Lattice(some, *self.parts).log_likelihood(self.p)
+            values = Lattice(some, self.trie).log_likelihood(self.p)
             self.known.update(zip(some, range(len(self.table), len(self.table) + len(some)), strict=True))
             self.table = np.concatenate((self.table, values))
 
