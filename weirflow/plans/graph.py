@@ -72,6 +72,7 @@ class Input:
     limit: int | None = None
     limit_by: list[str] | None = None
     files: Callable | None = None
+    paths: list[str] = field(default_factory=list)
     previous: bool = False
 
 
@@ -118,6 +119,8 @@ class Task:
         """Read `port` of the task `source`; "a|b" is the union of several tasks' ports."""
         if name in self.inputs:
             raise GraphError(f"{self.name} has an input {name} already")
+        if not isinstance(edge, Edge):
+            raise GraphError(f"{self.name}.{name}: an input has exactly one kind of edge, not {edge!r}")
         ports = (port or name).split("|")
         names = source.split("|")
         ports = ports * len(names) if len(ports) == 1 else ports
@@ -126,9 +129,9 @@ class Task:
         self.inputs[name] = Input(name, list(zip(names, ports, strict=True)), edge, **more)
         return self
 
-    def input_files(self, name: str, read: Callable, **more) -> Task:
-        """An external input: read(spark) gives its rows."""
-        self.inputs[name] = Input(name, [], Edge.ALL_TO_ALL, files=read, **more)
+    def input_files(self, name: str, read: Callable, paths: list[str] | None = None, **more) -> Task:
+        """An external input: read(spark) gives its rows. A change of what `paths` name makes the task run again."""
+        self.inputs[name] = Input(name, [], Edge.ALL_TO_ALL, files=read, paths=list(paths or []), **more)
         return self
 
     def input_previous(self, name: str, source: str, port: str, edge: Edge = Edge.ALL_TO_ALL, **more) -> Task:
@@ -139,15 +142,19 @@ class Task:
     def output(self, name: str, kind: str | None = None, *, shuffle: str | Callable | None = None, order: str | None = None, reducer: str | None = None, first: bool = False, keep: bool = False, internal: bool = False, render=None) -> Task:
         if name in self.outputs:
             raise GraphError(f"{self.name} has an output {name} already")
+        if kind and kind not in self.graph.types:
+            raise GraphError(f"{self.name}.{name}: unknown record type {kind}")
         record = self.graph.types[kind] if kind else None
-        if isinstance(shuffle, str):
-            if record is None:
-                raise GraphError(f"{self.name}.{name}: a named partitioner needs a record type")
-            part = record.partitioners[shuffle]
-        else:
-            part = shuffle
-        if (order or reducer) and record is None:
-            raise GraphError(f"{self.name}.{name}: orderings and reducers belong to record types")
+        if record is None and (order or reducer or first or isinstance(shuffle, str)):
+            raise GraphError(f"{self.name}.{name}: named partitioners, orderings and reducers belong to record types")
+        for what, known in ((order, record and record.orderings), (reducer, record and record.reducers), (shuffle if isinstance(shuffle, str) else None, record and record.partitioners)):
+            if what and what not in known:
+                raise GraphError(f"{self.name}.{name}: {kind} has no {what}; it has {', '.join(sorted(known)) or 'none'}")
+        if (reducer or first) and not order:
+            raise GraphError(f"{self.name}.{name}: records are combined by an ordering's keys; name one")
+        if internal and shuffle:
+            raise GraphError(f"{self.name}.{name}: an internal output can't be shuffled")
+        part = record.partitioners[shuffle] if isinstance(shuffle, str) else shuffle
         self.outputs[name] = Output(name, record, part, order, reducer, first, keep, internal, render)
         return self
 
@@ -224,8 +231,10 @@ class Graph:
                         raise GraphError(f"{task.name}.{port.name} expects {port.expect}; {source}.{name} has {made.kind.name if made.kind else 'no type'}")
                     if port.edge is Edge.PARTITION and self.tasks[source].partitioned != task.partitioned:
                         raise GraphError(f"{task.name}.{port.name}: partition edges join tasks of equal partition counts")
-                    if port.edge is Edge.SHUFFLE and made.shuffle is None:
+                    if port.edge is Edge.SHUFFLE and made.shuffle is None and not port.previous:
                         raise GraphError(f"{task.name}.{port.name}: {source}.{name} isn't shuffled")
+                    if port.edge is not Edge.SHUFFLE and made.shuffle is not None and not port.previous:
+                        raise GraphError(f"{task.name}.{port.name}: {source}.{name} is shuffled and needs a shuffle edge")
 
     def describe(self) -> str:
         lines = []
