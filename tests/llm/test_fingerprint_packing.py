@@ -11,36 +11,46 @@ from weirflow.llm import fingerprint as fp
 from weirflow.llm import packing, queries
 
 
+def brute_scale(text, ranks, w, run, popular):
+    """Windows of one scale that are features, one by one."""
+    cost = lambda window: sum(round(65536 * c * np.log2(c)) for c in Counter(window).values())
+    top = cost(text[:1] * w)
+    rank = [ranks[(top - cost(text[i : i + w])) * 1023 // top] for i in range(len(text) - w + 1)]
+    times = Counter(min(range(i, i + run), key=lambda j: (rank[j], j)) for i in range(len(rank) - run + 1))
+    return rank, [text[i : i + w] for i in sorted(times) if times[i] >= popular]
+
+
 def brute_features(text, ranks):
-    """Hashes of the features of one text, window by window."""
-    data = np.frombuffer(text, np.uint8)
-    level = [(fp._TOP - sum(int(fp._G[c]) for c in Counter(data[i : i + 64].tolist()).values())) * 1023 // fp._TOP for i in range(len(data) - 63)]
-    rank = [ranks[x] for x in level]
-    times = Counter(min(range(i, i + 64), key=lambda j: (rank[j], j)) for i in range(len(rank) - 63))
-    at = sorted(i for i, n in times.items() if n >= 16)
-    if at or not text:
-        return [text[i : i + 64] for i in at]
+    coarse = brute_scale(text, ranks[0], 64, 64, 16)[1] if text else []
+    if len(coarse) >= 12 or not text:
+        return coarse
+    rank, fine = brute_scale(text, ranks[1], 8, 4, 1)
+    if coarse or fine:
+        return coarse + fine
     i = min(range(len(rank)), key=lambda j: (rank[j], j)) if rank else 0
-    return [text[i : i + 64]]
+    return [text[i : i + 8]]
+
+
+def brute_hash(window):
+    if len(window) in (8, 64):
+        return int(fp._hashes(np.frombuffer(window, np.uint8), np.zeros(1, np.int64), len(window))[0])
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest())
 
 
 def test_features_match_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
-    texts = [bytes(rng.choice(list(b"abcd efgh the of\n"), n)) for n in (0, 1, 40, 64, 65, 126, 127, 128, 500, 0, 3000)] + [b"a" * 700]
-    ranks = rng.permutation(1024)
+    texts = [bytes(rng.choice(list(b"abcd efgh the of\n"), n)) for n in (0, 1, 7, 8, 10, 11, 40, 64, 65, 126, 127, 128, 500, 0, 3000)] + [b"a" * 700]
+    ranks = np.stack((rng.permutation(1024), rng.permutation(1024)))
     monkeypatch.setattr(fp, "CHUNK", 97)
     for i, t in enumerate(texts):
         alone = fp.digests([t], ranks)[0]
         assert np.array_equal(fp.digests(texts, ranks)[i], alone)
         want = brute_features(t, ranks)
-        assert len(alone) == -(-len(want) // 160)
-        if len(t) >= 64:
-            hashes = [fp._hashes(np.frombuffer(w, np.uint8), np.zeros(1, np.int64))[0] for w in want]
-            bits = np.zeros(len(alone) * 2048, np.uint8)
-            for k, h in enumerate(hashes):
-                for j in range(5):
-                    bits[k // 160 * 2048 + (int(h) >> 11 * j) % 2048] = 1
-            assert np.array_equal(np.packbits(bits), alone.ravel())
+        bits = np.zeros(-(-len(want) // 160) * 2048, np.uint8)
+        for k, h in enumerate(map(brute_hash, want)):
+            for j in range(5):
+                bits[k // 160 * 2048 + (h >> 11 * j) % 2048] = 1
+        assert np.array_equal(np.packbits(bits), alone.ravel())
 
 
 def test_compare_edits(docs, none):
@@ -61,6 +71,7 @@ def test_compare_edits(docs, none):
 
 def test_edited_texts_are_closer_than_others(spark):
     rows = queries.op1_improbable_features(spark, "/root/testdata/sf0.001").collect()
+    assert np.mean([r.near_edited > r.near_next for r in rows if r.n_chars > 60]) > 0.97
     long = [r for r in rows if r.n_chars > 600]
     assert np.mean([r.near_edited > r.near_next for r in long]) > 0.97
     assert np.mean([r.near_edited for r in long]) > 0.3 > 0.1 > np.mean([r.near_next for r in long])

@@ -7,15 +7,16 @@ all windows of the corpus (`rarity`); in every run of 64 consecutive windows the
 Two digests compare filter by filter: the overlap of bits, less what chance gives, over the most it
 could be; each filter of the shorter digest counts with its best match, weighted by its bits.
 
-Texts that are too short for one run of windows have one feature: their rarest window, or the whole
-text where it has no window. Null and empty texts have no feature and the digest "0:"; two such are
+Texts of fewer than FEW such features get features of a second, finer scale too, chosen in the same way
+from 8-byte windows in runs of four, so that a short text isn't known by one or two places alone. Texts
+too short even for one such run have one feature: their rarest window, or the whole text where it has
+no window. Null and empty texts have no feature and the digest "0:"; two such are
 alike (1), one such is unlike all others (0). Equal texts have equal digests. An empty table gives no
 rows. Repeated rows give repeated rows; ids that tie are ordered by text. Only id and text are read.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 
 import numpy as np
@@ -25,35 +26,43 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import map_steps, texts_of, utf8
 
-W, RUN, POPULAR = 64, 64, 16
 LEVELS = 1024
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
 #: Windows worked on at once.
 CHUNK = 1 << 17
 CUT = 0.3
+#: Features below which the finer scale joins in; bytes up to which a text counts for that scale's rarity.
+FEW, SHORT = 12, 1024
 
-#: Entropy in fixed point: sum over a window's byte counts c of c*log2(c), which is 0 for 64 different bytes and 384 for one.
-_SCALE = 1 << 16
-_G = np.round(_SCALE * np.array([0.0, *[c * np.log2(c) for c in range(1, W + 1)]])).astype(np.int64)
-_STEP = np.diff(_G).astype(np.int32)
-_TOP = int(_G[W])
 
+class Scale:
+    """Windows of w bytes, runs of `run` windows (a power of two), features that win at least `popular` of them."""
 
-def entropy_levels(data: np.ndarray) -> np.ndarray:
+    def __init__(self, w: int, run: int, popular: int):
+        self.w, self.run, self.popular = w, run, popular
+        # Entropy in fixed point: sum over a window's byte counts c of c*log2(c), from 0 for different bytes to w*log2(w) for one.
+        sums = np.round((1 << 16) * np.array([0.0, *[c * np.log2(c) for c in range(1, w + 1)]])).astype(np.int64)
+        self.step, self.top = np.diff(sums).astype(np.int32), int(sums[w])
+
+
+COARSE, FINE = Scale(64, 64, 16), Scale(8, 4, 1)
+
+
+def entropy_levels(data: np.ndarray, scale: Scale = COARSE) -> np.ndarray:
     """The entropy level of each window of `data` (uint8), exact: counts enter and leave by equal bytes within reach."""
-    n = len(data)
+    n, w = len(data), scale.w
     before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-    for lag in range(1, W):
+    for lag in range(1, w):
         same = (data[lag:] == data[:-lag]).view(np.uint8)
         before[lag:] += same
         after[:-lag] += same
-    gain, loss = _STEP[before], _STEP[after]
-    # Byte i enters a window that holds `before` equal ones; byte i-W leaves one that holds it and `after` equal ones.
-    # When i enters, i-W has left first, so its equal ones are those within W-1 before i.
+    gain, loss = scale.step[before], scale.step[after]
+    # Byte i enters a window that holds `before` equal ones; byte i-w leaves one that holds it and `after` equal ones.
+    # When i enters, i-w has left first, so its equal ones are those within w-1 before i.
     sums = np.cumsum(gain.astype(np.int64))
-    out = sums[W - 1 :].copy()
-    out[1:] -= np.cumsum(loss[: n - W].astype(np.int64))
-    return ((_TOP - out) * (LEVELS - 1) // _TOP).astype(np.int16)
+    out = sums[w - 1 :].copy()
+    out[1:] -= np.cumsum(loss[: n - w].astype(np.int64))
+    return ((scale.top - out) * (LEVELS - 1) // scale.top).astype(np.int16)
 
 
 def chunks(data: np.ndarray, reach: int):
@@ -62,25 +71,26 @@ def chunks(data: np.ndarray, reach: int):
         yield at, data[at : at + CHUNK + reach]
 
 
-def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Rank of every entropy level by the number of the corpus's windows at it, rarest first: LEVELS ints."""
+def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[list[int]]:
+    """For both scales the rank of every entropy level by the number of the corpus's windows at it, rarest first."""
 
     def count(batches):
-        total = np.zeros(LEVELS, np.int64)
+        total = np.zeros((2, LEVELS), np.int64)
         for batch in batches:
             for text in utf8(batch.column("text")):
                 data = np.frombuffer(text, np.uint8)
-                for _, piece in chunks(data, W - 1):
-                    total += np.bincount(entropy_levels(piece), minlength=LEVELS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], ["level", "n"])
-
-    found = texts_of(docs, id_col, text_col).select("text").mapInArrow(count, "level int, n long").groupBy("level").agg(F.sum("n")).collect()
-    counts = np.zeros(LEVELS, np.int64)
-    for level, n in found:
-        counts[level] = n
-    ranks = np.empty(LEVELS, np.int64)
-    ranks[np.lexsort((np.arange(LEVELS), counts))] = np.arange(LEVELS)
+                for k, scale in enumerate((COARSE, FINE) if len(data) <= SHORT else (COARSE,)):
+                    for _, piece in chunks(data, scale.w - 1):
+                        total[k] += np.bincount(entropy_levels(piece, scale), minlength=LEVELS)
+        scales, at = np.nonzero(total)
+        yield pa.record_batch([pa.array(scales.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[scales, at])], ["scale", "level", "n"])
+
+    found = texts_of(docs, id_col, text_col).select("text").mapInArrow(count, "scale int, level int, n long").groupBy("scale", "level").agg(F.sum("n")).collect()
+    counts, ranks = np.zeros((2, LEVELS), np.int64), np.empty((2, LEVELS), np.int64)
+    for scale, level, n in found:
+        counts[scale, level] = n
+    for k in range(2):
+        ranks[k, np.lexsort((np.arange(LEVELS), counts[k]))] = np.arange(LEVELS)
     return ranks.tolist()
 
 
@@ -90,25 +100,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _hashes(data: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
     """64-bit hashes of the windows that begin at `at`."""
-    words = np.lib.stride_tricks.sliding_window_view(data, W)[at].copy().view("<u8")
+    words = np.lib.stride_tricks.sliding_window_view(data, w)[at].copy().view("<u8")
     h = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
     for i in range(words.shape[1]):
         h = _mix(h ^ words[:, i]) + np.uint64(0x9E3779B97F4A7C15)
     return _mix(h)
 
 
-def features(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the features of texts that lie one after another in `data` and end at `ends`, in order."""
-    starts = np.concatenate(([0], ends[:-1]))
-    reach = W - 1 + RUN - 1
+def chosen(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the features, on one scale, of texts that lie one after another in `data` and end at `ends`, in order."""
+    reach = scale.w + scale.run - 2
     found, times = [], []
     for at, piece in chunks(data, reach):
-        rank = ranks[entropy_levels(piece)]
+        rank = ranks[entropy_levels(piece, scale)]
         low = (rank << 32) | np.arange(len(rank))
         width = 1
-        while width < RUN:
+        while width < scale.run:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low &= 0xFFFFFFFF
@@ -123,30 +132,33 @@ def features(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.
     if len(at):  # the same candidate may go on in the next piece
         new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         at, n = at[new], np.add.reduceat(n, new)
-    at = at[n >= POPULAR]
-    owner, hashed = np.searchsorted(ends, at, side="right"), _hashes(data, at) if len(at) else np.zeros(0, np.uint64)
-    has = np.zeros(len(ends), bool)
-    has[owner] = True
-    extra, extra_hash = [], []
-    for i in np.flatnonzero(~has & (ends > starts)):
-        text = data[starts[i] : ends[i]]
-        if len(text) >= W:
-            rank = np.concatenate([ranks[entropy_levels(p)] for _, p in chunks(text, W - 1)])
-            j = int(np.argmin(rank))
-            text = text[j : j + W]
-        extra.append(i)
-        extra_hash.append(_hashes(text, np.zeros(1, np.int64))[0] if len(text) == W else np.uint64(int.from_bytes(hashlib.blake2b(text.tobytes(), digest_size=8).digest())))
-    if extra:
-        owner, hashed = np.concatenate((owner, extra)), np.concatenate((hashed, np.array(extra_hash, np.uint64)))
-        by = np.argsort(owner, kind="stable")
-        owner, hashed = owner[by], hashed[by]
-    return owner, hashed
+    at = at[n >= scale.popular]
+    return np.searchsorted(ends, at, side="right"), _hashes(data, at, scale.w) if len(at) else np.zeros(0, np.uint64)
+
+
+def features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all features, by text."""
+    join = lambda some: (np.frombuffer(b"".join(some), np.uint8), np.cumsum(np.fromiter(map(len, some), np.int64, len(some))))
+    owner, hashed = chosen(*join(texts), ranks[0], COARSE)
+    short = np.flatnonzero(np.bincount(owner, minlength=len(texts)) < FEW)
+    more, fine = chosen(*join([texts[i] for i in short]), ranks[1], FINE) if len(short) else (owner[:0], hashed[:0])
+    owner, hashed = np.concatenate((owner, short[more])), np.concatenate((hashed, fine))
+    has = np.bincount(owner, minlength=len(texts)) > 0
+    extra, extra_hash = [i for i in np.flatnonzero(~has) if texts[i]], []
+    for i in extra:
+        text = np.frombuffer(texts[i], np.uint8)
+        if len(text) >= FINE.w:
+            extra_hash.append(_hashes(text, np.argmin(ranks[1][entropy_levels(text, FINE)])[None], FINE.w)[0])
+        else:
+            extra_hash.append(np.uint64(int.from_bytes(hashlib.blake2b(texts[i], digest_size=8).digest())))
+    owner, hashed = np.concatenate((owner, np.array(extra, np.int64))), np.concatenate((hashed, np.array(extra_hash, np.uint64)))
+    by = np.argsort(owner, kind="stable")
+    return owner[by], hashed[by]
 
 
 def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     """For each text its filters: a row of 256 bytes for every 160 features."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    owner, hashed = features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes), ranks)
+    owner, hashed = features(texts, ranks)
     n = np.bincount(owner, minlength=len(texts))
     filters = -(-n // PER_FILTER)
     first = np.concatenate(([0], np.cumsum(filters)))
@@ -188,7 +200,7 @@ def text_of(digest: np.ndarray) -> str:
     return f"{len(digest)}:{digest.tobytes().hex()}"
 
 
-def fingerprint(docs: DataFrame, ranks: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, ranks: list[list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint: a narrow map."""
     table = np.array(ranks, np.int64)
 
@@ -240,7 +252,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def compare_edits(docs: DataFrame, ranks: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_edits(docs: DataFrame, ranks: list[list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of every text and of its edited text, and their likeness and that of the next text's.
 
     Rows: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Next is
