@@ -1,14 +1,17 @@
 """DuckDB SQL for the operators that SQL can express: what their queries return, by the definitions.
 
 Mixing: Sainte-Laguë quotients are all made and ranked here; the operator makes only the open ones.
-Sharding: rows are ranked by one global sort; the operator counts its way to the same places.
+Sharding: rows are ranked by one global sort; the operator counts its way to the same places. License scans: every
+block meets every template and every place every phrase; the operator indexes prefixes.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from weirflow.llm.hilbert import BITS, BUCKETS, curve_table
+from weirflow.llm.licenses import LONG, PHRASES, TEMPLATES, THRESHOLD, words_of
 from weirflow.llm.mixing import BLOCKS, MOST_BLOCK, REPEAT, SEED, SHARD_WORDS, SHARE, WEIGHTS
 
 
@@ -68,4 +71,38 @@ r AS (SELECT *, row_number() OVER (ORDER BY curve, bucket, doc_id NULLS FIRST, s
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(((rank + 1) * 24 - 1) // total AS INTEGER) AS shard,
   CAST(rank - total * (((rank + 1) * 24 - 1) // total) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM r"""
 
-ORACLES = {"op2_sainte_lague": MIX, "op5_hilbert": SHARD}
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _phrase(phrase: str, label: str) -> str:
+    words = phrase.split()
+    return f"SELECT k, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(words)}] = {_list(words)})) AS i FROM w"
+
+
+def _template(place: int, label: str, text: str) -> str:
+    words = sorted({w.decode() for w in words_of(text.encode())})
+    return f"({place}, '{label}', {_list(words)}, {math.ceil(THRESHOLD * len(words) - 1e-9)})"
+
+
+LICENSES = rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT k, doc_id, t, regexp_extract_all(t, {_WORD}) AS w FROM d),
+places AS ({" UNION ALL ".join(_phrase(p, label) for p, label in PHRASES.items())}),
+base AS (SELECT k, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY k),
+parts AS (SELECT k, string_split(unnest(string_split_regex(t, '
+[ 	]*
+')), chr(10)) AS lines FROM d),
+blocks AS (SELECT k, unnest(lines) AS block, true AS line FROM parts UNION ALL SELECT k, array_to_string(lines, chr(10)), false FROM parts WHERE len(lines) > 1),
+sets AS (SELECT k, line, list_distinct(regexp_extract_all(block, {_WORD})) AS have FROM blocks),
+templates AS (SELECT * FROM (VALUES {", ".join(_template(i, *t) for i, t in enumerate(TEMPLATES))}) AS v(place, label, need, least)),
+met AS (SELECT k, place, label, max(CAST(len(list_intersect(have, need)) AS DOUBLE) / len(need)) AS share FROM sets JOIN templates ON (line OR len(need) >= {LONG}) AND len(have) >= least AND len(list_intersect(have, need)) >= least GROUP BY 1, 2, 3),
+best AS (SELECT k, max(share) AS share, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS templates FROM met GROUP BY k),
+names AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM places UNION SELECT k, label FROM met) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(names.labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score, coalesce(templates, '') AS templates
+FROM w LEFT JOIN base USING (k) LEFT JOIN best USING (k) LEFT JOIN names USING (k)"""
+
+ORACLES = {"op7_license_join": LICENSES, "op2_sainte_lague": MIX, "op5_hilbert": SHARD}
