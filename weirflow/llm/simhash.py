@@ -106,7 +106,8 @@ def links(fps: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     wide = 1 if radius <= 8 else radius + 1
     reach = radius if wide == 1 else 2
     fps = fps.select("fp", F.expr(f"pa div {wide}").cast("int").alias("pa"), F.expr(f"pb div {wide}").cast("int").alias("pb"))
-    cells = fps.groupBy("pa", "pb").agg(F.ceil(F.count("*") / TILE).cast("int").alias("subs"))
+    # One row for each pair of half counts: at most (bits / 2 + 1) ** 2 of them, whatever the input.
+    cells = F.broadcast(saved(fps.groupBy("pa", "pb").agg(F.ceil(F.count("*") / TILE).cast("int").alias("subs"))))
     tiles = (
         fps.join(cells, ["pa", "pb"])
         .withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int"))
@@ -180,7 +181,9 @@ def verified(docs: DataFrame, unique: DataFrame, roots: DataFrame, shingle: int,
 
     sets = saved(map_steps(texts.select("root", "node", "text"), hashes, "root binary, node binary, hashes binary, n long"))
     parts = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / HASHES)).cast("int").alias("parts"))
-    tiles = sets.join(parts, "root").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).groupBy("root", "sub", "parts").agg(F.collect_list(F.struct("node", "hashes")).alias("rows"))
+    # Dealt by tile: else a group of a third of all rows, together for its join, would stay together.
+    sets = sets.join(parts, "root").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).repartition("root", "sub")
+    tiles = sets.groupBy("root", "sub", "parts").agg(F.collect_list(F.struct("node", "hashes")).alias("rows"))
     tiles = saved(tiles)
     left = tiles.select("root", F.col("sub").alias("sub_a"), F.col("rows").alias("a"), F.explode(F.sequence("sub", F.col("parts") - 1)).alias("sub"))
     pairs = left.join(tiles.select("root", "sub", F.col("rows").alias("b")), ["root", "sub"]).select("a", "b", (F.col("sub_a") == F.col("sub")).alias("same"))
@@ -211,5 +214,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, bits: in
     linked = unique.select(F.col("fp").alias("node"), "rep").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    ids = unique.select("fp", "rep").join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # Stored, so that the last join is between two plain exchanges, of which skewed partitions can be split.
+    ids = saved(unique.select("fp", "rep").join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return fps.select("doc_id", "fp").join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
