@@ -53,6 +53,20 @@ def test_features_match_brute_force(monkeypatch):
         assert np.array_equal(np.packbits(bits), alone.ravel())
 
 
+def test_rarity_counts_every_text(spark):
+    """Both scales are ranked by the windows of all texts, long ones too."""
+    texts = ["abcdefgh" * 20, "aaaaaaab" * 3, "aabbccdd" * 400, "aaaaaaaa" * 900 + "abcabcab" * 50, None, "", "abc"]
+    ranks = fp.rarity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for found, w in zip(ranks, (64, 8), strict=True):
+        cost = lambda window: sum(round(65536 * c * np.log2(c)) for c in Counter(window).values())
+        counts = Counter()
+        for t in texts:
+            t, top = (t or "").encode(), cost("a" * w)
+            counts.update((top - cost(t[i : i + w])) * 1023 // top for i in range(len(t) - w + 1))
+        want = sorted(range(1024), key=lambda level: (counts[level], level))
+        assert sorted(range(1024), key=found.__getitem__) == want
+
+
 def test_compare_edits(docs, none):
     rows, source = fp.compare_edits(docs, fp.rarity(docs)).collect(), docs.collect()
     order = sorted(((r.doc_id is None, -(r.doc_id or 0), r.text or "") for r in source))

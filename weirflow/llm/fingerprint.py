@@ -31,8 +31,8 @@ FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
 #: Windows worked on at once.
 CHUNK = 1 << 17
 CUT = 0.3
-#: Features below which the finer scale joins in; bytes up to which a text counts for that scale's rarity.
-FEW, SHORT = 12, 1024
+#: Features below which the finer scale joins in.
+FEW = 12
 
 
 class Scale:
@@ -79,7 +79,7 @@ def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> l
         for batch in batches:
             for text in utf8(batch.column("text")):
                 data = np.frombuffer(text, np.uint8)
-                for k, scale in enumerate((COARSE, FINE) if len(data) <= SHORT else (COARSE,)):
+                for k, scale in enumerate((COARSE, FINE)):
                     for _, piece in chunks(data, scale.w - 1):
                         total[k] += np.bincount(entropy_levels(piece, scale), minlength=LEVELS)
         scales, at = np.nonzero(total)
