@@ -17,8 +17,8 @@ from weirflow.llm import langid, packing, quality, simhash
 from weirflow.llm.common import ensure_checkpoint_dir, ship, table
 from weirflow.llm.mixing import mix
 
-#: The similarity of near copies, and the radius (of 128 bits) within which SimHash proposes them.
-SIMILARITY, RADIUS, BITS, SHINGLE = 0.8, 32, 128, 5
+#: The similarity of near copies, and the radius (of 256 bits) within which SimHash proposes them.
+SIMILARITY, RADIUS, BITS, SHINGLE = 0.8, 76, 256, 5
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
 

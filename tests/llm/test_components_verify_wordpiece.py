@@ -84,3 +84,25 @@ def test_failure_links_on_small_vocabularies():
         for _ in range(40):
             word = "".join(rng.choices("abcdé", k=rng.randint(0, 14)))
             assert walk.length("▁" + word) == greedy(word or "", pieces) if word else True
+
+
+def test_short_near_copies_are_proposed():
+    """The worst case of few shingles: of five, one is in one text only. Exact binomial of the bits that differ."""
+    from math import comb
+
+    import corpus_pipeline as cp
+
+    # A majority of four and one of five shingles differ where two of the four and the fifth are ones.
+    p = comb(4, 2) / 2**5
+    missed = sum(comb(cp.BITS, k) * p**k * (1 - p) ** (cp.BITS - k) for k in range(cp.RADIUS + 1, cp.BITS + 1))
+    assert missed < 1e-5
+
+
+def test_every_text_of_a_fingerprint_is_verified(spark, monkeypatch):
+    """All fingerprints equal: what counts are the sets, not the smallest id of the fingerprint."""
+    words = [f"w{i}" for i in range(60)]
+    texts = ["other words that are like none of the rest here at all", " ".join(words[:30]), " ".join(words[:31]), " ".join(words[30:]), "a b c", "a b d", "", None]
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle, bits, repeats=True: bytes(bits // 8))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash.near_duplicates(docs, 5, 32, 128, repeats=False, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}

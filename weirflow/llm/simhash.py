@@ -8,7 +8,8 @@ Each tile pair reports a spanning forest of its links, never all pairs of a grou
 
 With `similarity`, the radius only proposes: what it connects is compared anew, tile by tile within each
 proposed component, by the exact Jaccard similarity of the sets of shingles, and only links that reach
-it count. Shingles stand as their 64-bit hashes there.
+it count. Shingles stand as their 64-bit hashes there, and each different set of them is compared, also
+where several share one fingerprint. Sets too small to reach the similarity with any other propose nothing.
 
 Null and empty texts have no shingle: fingerprint zero, linked like any other. Equal rows get equal
 results. An empty table gives no rows. Only the id and text columns are read, so others can't clash.
@@ -61,16 +62,29 @@ def fingerprint(text: bytes, shingle: int, bits: int, repeats: bool = True) -> b
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary), pa and pb (ones in its first and second half): a narrow map over the texts."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in set(shingles(text, shingle))]), np.uint64))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """doc_id, fp (binary), pa and pb (ones in its first and second half): a narrow map over the texts.
+
+    sets: also key (binary) and n, the digest and size of the set of shingle hashes.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, shingle, bits, repeats) for t in utf8(batch.column("text"))]
         ones = np.bitwise_count(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), 2, -1)).sum(axis=2, dtype=np.int32)
-        return pa.record_batch([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(ones[:, 0]), pa.array(ones[:, 1])], ["doc_id", "fp", "pa", "pb"])
+        columns, names = [batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(ones[:, 0]), pa.array(ones[:, 1])], ["doc_id", "fp", "pa", "pb"]
+        if sets:
+            held = [shingle_set(t, shingle) for t in utf8(batch.column("text"))]
+            columns += [pa.array([xxhash.xxh128_digest(x.tobytes()) for x in held], pa.binary()), pa.array(list(map(len, held)), pa.int64())]
+            names += ["key", "n"]
+        return pa.record_batch(columns, names)
 
     df = texts_of(docs, id_col, text_col)
-    return map_steps(df, step, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp binary, pa int, pb int")
+    return map_steps(df, step, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp binary, pa int, pb int" + (", key binary, n long" if sets else ""))
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +185,19 @@ SETS, HASHES = 1024, 1 << 20
 
 
 def verified(docs: DataFrame, unique: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): links within proposed components that reach the similarity. docs: doc_id and text."""
-    chosen = unique.select(F.col("fp").alias("node"), F.col("rep").alias("doc_id")).join(roots, "node")
-    texts = docs.join(chosen, "doc_id").dropDuplicates(["node"])
+    """(u, v): links, of keys, within proposed components that reach the similarity. docs: doc_id and text."""
+    # Different sets of one fingerprint are proposed to each other too.
+    several = unique.groupBy("fp").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+    roots = roots.select("node", "root").unionAll(several.join(roots, "node", "left_anti"))
+    chosen = unique.select(F.col("fp").alias("node"), F.col("key"), F.col("rep").alias("doc_id")).join(roots, "node").select("root", F.col("key").alias("node"), "doc_id")
+    texts = docs.join(chosen, "doc_id").dropDuplicates(["node", "text"])
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles(t, shingle)]), np.uint64)) for t in utf8(batch.column("text"))]
-        return pa.record_batch([batch.column("root"), batch.column("node"), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(list(map(len, raw)), pa.int64())], ["root", "node", "hashes", "n"])
+        raw = [shingle_set(t, shingle).tobytes() for t in utf8(batch.column("text"))]
+        # An id may stand for several texts, of which others than the node's go.
+        at = [i for i, (x, key) in enumerate(zip(raw, batch.column("node").to_pylist(), strict=True)) if xxhash.xxh128_digest(x) == key]
+        raw, place = [raw[i] for i in at], pa.array(at, pa.int64())
+        return pa.record_batch([batch.column("root").take(place), batch.column("node").take(place), pa.array(raw, pa.binary()), pa.array([len(x) // 8 for x in raw], pa.int64())], ["root", "node", "hashes", "n"])
 
     sets = saved(map_steps(texts.select("root", "node", "text"), hashes, "root binary, node binary, hashes binary, n long"))
     parts = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / HASHES)).cast("int").alias("parts"))
@@ -197,23 +217,29 @@ def verified(docs: DataFrame, unique: DataFrame, roots: DataFrame, shingle: int,
                 if len(u):
                     yield pa.record_batch([pa.array([names[i] for i in u], pa.binary()), pa.array([names[i] for i in v], pa.binary())], ["u", "v"])
 
-    return pairs.mapInArrow(compare, "u binary, v binary")
+    return pairs.mapInArrow(compare, "u binary, v binary").where("u <> v")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, bits: int = 64, repeats: bool = True, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links).
 
     similarity: links must reach this Jaccard similarity of shingle sets too; documents of equal
-    fingerprint count as one there, and those without an id propose no links.
+    sets count as one there, and those without an id propose no links.
     """
-    fps = saved(fingerprints(docs, shingle, bits, repeats, id_col, text_col))
-    unique = fps.groupBy("fp", "pa", "pb").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(unique, radius, bits))
-    if similarity is not None:
-        roots = components(verified(texts_of(docs, id_col, text_col), unique, roots, shingle, similarity))
-    linked = unique.select(F.col("fp").alias("node"), "rep").join(roots, "node")
+    exact = similarity is not None
+    fps = saved(fingerprints(docs, shingle, bits, repeats, id_col, text_col, sets=exact))
+    node = "key" if exact else "fp"
+    unique = fps.groupBy("fp", "pa", "pb", *(["key", "n"] if exact else [])).agg(F.min("doc_id").alias("rep"))
+    if exact:
+        # Of n shingles, n / (n + 1) is the most that any other set reaches.
+        able = unique.where(F.col("n") + 1e-9 >= similarity * (F.col("n") + 1))
+        roots = components(links(able.select("fp", "pa", "pb").distinct(), radius, bits))
+        roots = components(verified(texts_of(docs, id_col, text_col), able, roots, shingle, similarity))
+    else:
+        roots = components(links(unique, radius, bits))
+    linked = unique.select(F.col(node).alias("node"), "rep").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    moved = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
+    moved = roots.join(least, "root").select(F.col("node").alias(node), "least")
     # Stored, so that the last join is between two plain exchanges, of which skewed partitions can be split.
-    ids = saved(unique.select("fp", "rep").join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return fps.select("doc_id", "fp").join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    ids = saved(unique.select(node, "rep").join(moved, node, "left").select(node, F.coalesce("least", "rep").alias("component_id")))
+    return fps.select("doc_id", "fp", *(["key"] if exact else [])).join(ids, node).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
