@@ -65,6 +65,26 @@ def test_blocks_near_templates(spark):
     check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), licenses.TEMPLATES, 0.5)
 
 
+def test_wrapped_short_notices(spark, tmp_path):
+    """Short notices broken over lines, against every run of words of every paragraph, through the registered query."""
+    texts = ["\n".join(t.split()[i] for i in range(len(t.split()))) for _, t in licenses.TEMPLATES]
+    texts += ["This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.", "Released under\n\nthe MIT License.", "This is free\n" + "and more words in between " * 9 + "\nunencumbered software released into the public domain.", "# Licensed under\n# CC BY-NC 4.0."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op7_license_join(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        met = brute_templates(text, licenses.TEMPLATES, 0.8)
+        for part in re.split(r"\n[ \t\r\x0b\x0c]*\n", text):
+            words = words_of(part)
+            for t, (_, template) in enumerate(licenses.TEMPLATES):
+                need, length = set(words_of(template)), len(words_of(template))
+                share = max(len(need & set(words[k : k + length])) / len(need) for k in range(len(words)))
+                if len(need) < licenses.LONG and share >= 0.8 - 1e-9:
+                    met[t] = max(share, met.get(t, 0))
+        assert found[i].templates == ",".join(map(str, sorted(met)))
+    n = len(licenses.TEMPLATES)
+    assert "cc-by-nc" in found[n].labels.split(",") and found[n].score == 1.0 and found[n + 3].labels == "cc-by-nc"
+
+
 def brute_search(rows, step, top):
     """rows: (id, vector) of those that take part."""
     out = {}

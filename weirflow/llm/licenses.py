@@ -2,7 +2,8 @@
 
 A block matches a template if it holds at least `threshold` of the template's different words. Blocks
 are lines, and for templates of LONG or more different words paragraphs (runs of lines up to a blank
-one) too. Template words are ordered by document frequency over the whole corpus, rarest first. Of a
+one) too. With `wrapped`, templates of fewer words are sought in paragraphs as well, in every run of as many
+successive words as the template has, so that line breaks inside a notice don't hide it. Template words are ordered by document frequency over the whole corpus, rarest first. Of a
 template of n words that needs k, any match has one of the first n-k+1 in its block (prefix filter),
 at least k different words (length filter), and at its first common word, the i-th, n-i+1 >= k
 (positional filter). What passes is counted exactly, so no match is lost.
@@ -67,13 +68,14 @@ class Join:
     """The templates' side of the join, indexed by their prefixes."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
-        self.templates, self.index = [], defaultdict(list)
+        self.templates, self.lengths, self.index = [], [], defaultdict(list)
         for label, text in templates:
             words = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             for i, word in enumerate(words[: len(words) - need + 1]):
                 self.index[word].append((len(self.templates), i))
             self.templates.append((label, words, need))
+            self.lengths.append(len(words_of(text.encode())))
         self.prefixes = frozenset(self.index)
 
     def matches(self, words: set[bytes], short: bool) -> list[tuple[int, float]]:
@@ -91,18 +93,37 @@ class Join:
                     out.append((t, n / len(mine)))
         return out
 
+    def wrapped(self, words: list[bytes], have: set[bytes]):
+        """(template, containment) of those of fewer than LONG words that a run of a paragraph's words meets, at its best."""
+        for t in {t for word in self.prefixes.intersection(have) for t, _ in self.index[word]}:
+            _, mine, need = self.templates[t]
+            if len(mine) >= LONG or len(have.intersection(mine)) < need:
+                continue
+            wanted, length, held, best = frozenset(mine), self.lengths[t], Counter(), 0
+            for i, word in enumerate(words):
+                if word in wanted:
+                    held[word] += 1
+                if i >= length and words[i - length] in wanted:
+                    held[words[i - length]] -= 1
+                    if not held[words[i - length]]:
+                        del held[words[i - length]]
+                best = max(best, len(held))
+            if best >= need:
+                yield t, best / len(mine)
+
 
 _BLANK = re.compile(rb"\n[ \t\r\x0b\x0c]*\n")
 
 
 def blocks(text: bytes):
-    """(words, whether it is a line) of every line and paragraph."""
+    """(different words, all words in order, whether it is a line) of every line and paragraph."""
     for part in _BLANK.split(text):
-        lines = [set(words_of(line)) for line in part.split(b"\n")]
+        lines = [words_of(line) for line in part.split(b"\n")]
         for line in lines:
-            yield line, True
+            yield set(line), line, True
         if len(lines) > 1:
-            yield set().union(*lines), False
+            words = [word for line in lines for word in line]
+            yield set(words), words, False
 
 
 def places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) -> list[tuple[int, str]]:
@@ -122,7 +143,7 @@ def places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) -> list[tu
     return out
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates.
 
     score: 1 with a phrase, else the largest containment of a match, else 0. templates: the places in
@@ -140,9 +161,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
         found = places(words, sought) if not ends.isdisjoint(there) else []
         best: dict[int, float] = {}
         if not join.prefixes.isdisjoint(there):
-            for block, line in blocks(text):
+            for block, run, line in blocks(text):
                 for t, share in join.matches(block, line):
                     best[t] = max(share, best.get(t, 0.0))
+                if wrapped and not line:
+                    for t, share in join.wrapped(run, block):
+                        best[t] = max(share, best.get(t, 0.0))
         base = {label for _, label in found}
         labels = base | {join.templates[t][0] for t in best}
         at = [i for i, _ in found]

@@ -58,7 +58,7 @@ def op6_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.licenses import scan
 
-    return scan(table(spark, sf_dir, "documents")).withColumn("templates", F.array_join(F.col("templates").cast("array<string>"), ","))
+    return scan(table(spark, sf_dir, "documents"), wrapped=True).withColumn("templates", F.array_join(F.col("templates").cast("array<string>"), ","))
 
 
 def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
