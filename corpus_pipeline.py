@@ -74,9 +74,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token runs of all documents in windows of 2048; see weirflow.llm.packing."""
+    """The token runs of all documents, with their checksums, in windows of 2048; see weirflow.llm.packing."""
     ship(spark)
-    return packing.pack(docs, str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
+    return packing.pack(docs, str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN).withColumn("ids_crc32", F.crc32("tokens"))
 
 
 STAGES = [

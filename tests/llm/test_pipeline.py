@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -89,3 +90,8 @@ def test_run(spark):
             assert r.offset == at
             at += r.length
         assert at <= 2048
+
+
+def test_packing_returns_the_tokens(spark, docs, folder):
+    rows = STAGES["packing"](spark, docs, folder).collect()
+    assert rows and all(len(r.tokens) == 4 * r.length and zlib.crc32(r.tokens) == r.ids_crc32 for r in rows)
