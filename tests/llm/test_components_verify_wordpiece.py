@@ -1,9 +1,13 @@
+import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 
+from weirflow.llm import components as parts
 from weirflow.llm import simhash, wordpiece
 from weirflow.llm.components import components
 
@@ -15,7 +19,10 @@ def groups(pairs):
     return sorted(map(sorted, out.values()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 14, 40, 0])
+def test_components(spark, monkeypatch, one_task):
+    """All links in one task, some rounds of contraction before it, contraction to the end."""
+    monkeypatch.setattr(parts, "ONE_TASK", one_task)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 470)] + [(999, i) for i in range(600, 680)] + [(5, 5)]
     group = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -102,7 +109,29 @@ def test_every_text_of_a_fingerprint_is_verified(spark, monkeypatch):
     """All fingerprints equal: what counts are the sets, not the smallest id of the fingerprint."""
     words = [f"w{i}" for i in range(60)]
     texts = ["other words that are like none of the rest here at all", " ".join(words[:30]), " ".join(words[:31]), " ".join(words[30:]), "a b c", "a b d", "", None]
-    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle, bits, repeats=True: bytes(bits // 8))
+    monkeypatch.setattr(simhash, "set_fingerprint", lambda held, bits: bytes(bits // 8))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = simhash.near_duplicates(docs, 5, 32, 128, repeats=False, similarity=0.8).collect()
     assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+
+
+def test_buckets_find_what_is_similar():
+    """Sets at the threshold share a bucket but for 4 in 10 million; unlike ones, with a passage in common, hardly ever."""
+    rng = np.random.default_rng(2)
+    for n in (5, 12, 60, 400):
+        for _ in range(200):
+            both, one = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, n // 4, np.uint64)
+            assert (simhash.buckets(both) == simhash.buckets(np.concatenate((both, one)))).any()
+    shared = rng.integers(0, 1 << 63, 50, np.uint64)
+    met = [simhash.buckets(np.concatenate((shared, rng.integers(0, 1 << 63, 450, np.uint64)))) for _ in range(150)]
+    assert sum((a == b).any() for i, a in enumerate(met) for b in met[:i]) < 150
+
+
+def test_several_texts_of_an_id_and_groups_that_a_pivot_does_not_connect(spark):
+    """A chain of near copies whose ends are unlike; repeated ids with other texts; long and short members."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 120])) for i in range(12)] + [(3, "another text that has the id of a link of the chain"), (30, " ".join(words[200:320]) + " end"), (31, " ".join(words[200:320]))]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 76, 256, repeats=False, similarity=0.8).collect()
+    marks = {hashlib.md5(t.encode()).hexdigest(): t for _, t in rows}
+    got = {(r.doc_id, marks[r.mark]): r.component_id for r in found}
+    assert got == {(i, t): 3 if "another" in t else 30 if i >= 30 else 0 for i, t in rows}

@@ -95,3 +95,17 @@ def test_run(spark):
 def test_packing_returns_the_tokens(spark, docs, folder):
     rows = STAGES["packing"](spark, docs, folder).collect()
     assert rows and all(len(r.tokens) == 4 * r.length and zlib.crc32(r.tokens) == r.ids_crc32 for r in rows)
+
+
+def test_columns_of_a_users_table_pass_through(spark, folder):
+    """Columns that stages use themselves keep their values; all values of a row stay together."""
+    names = ["score", "lang_pred", "size", "taken", "_h", "_kept", "_src", "_words", "_copy", "copy", "cut", "rest", "mark", "target", "a.b"]
+    texts = [("the house of the river and the stone of the house " * (3 + i % 5) + f"number {i} of them.") for i in range(24)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found or name == "quality classifier"
+        assert all(r[5:] == tuple(f"{n}{r.doc_id}" for n in names) and r.n_chars == len(r.text) for r in found), name

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,10 +46,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only where none is set (single-machine tests)."""
+    """Use the folder the cluster names; make one only where none is set and all runs on this machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weirflow-"))
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="weirflow-"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -56,6 +67,28 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables of one computation in the shared checkpoint folder; all but those kept go at its end."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.at, self.n = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_):
+        remove(self.spark, f"{self.at}/steps")
+
+    def table(self, df: DataFrame, place: str = "steps") -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.at}/{place}/{self.n}")
+        return self.spark.read.parquet(f"{self.at}/{place}/{self.n}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self.table(df, "kept")
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator works on, so that other columns can't clash; null texts become empty."""
     ship(docs.sparkSession)
@@ -80,12 +113,12 @@ def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatc
         yield batch.slice(start)
 
 
-def map_steps(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over byte-bounded steps: one output batch for each step, no shuffle."""
+def map_steps(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+    """mapInArrow over steps bounded by the bytes of a column: one output batch for each step, no shuffle."""
 
     def run(batches):
         for batch in batches:
-            for step in steps(batch):
+            for step in steps(batch, column):
                 out = fn(step)
                 if out is not None and out.num_rows:
                     yield out

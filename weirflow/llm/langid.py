@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirflow.llm.common import map_steps, ship
 
@@ -255,5 +256,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, ke
         return pa.record_batch([*[batch.column(c) for c in ("doc_id", *keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", *keep, "lang_pred", "score"])
 
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c for c in keep if c != "text"])
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    return map_steps(df, step, ", ".join([*fields, "lang_pred string", "score double"]))
+    found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return map_steps(df, step, T.StructType([*[df.schema[c] for c in ("doc_id", *keep)], *found]))

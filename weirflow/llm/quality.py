@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirflow.llm.common import map_steps, ship, utf8
 
@@ -191,5 +192,4 @@ def classify(docs: DataFrame, model: dict | None, keep: tuple = (), id_col: str
         return pa.record_batch([*[batch.column(c) for c in ("doc_id", *keep)], pa.array(found)], ["doc_id", *keep, "score"])
 
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c for c in keep if c != "text"])
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    return map_steps(df, step, ", ".join([*fields, "score double"]))
+    return map_steps(df, step, T.StructType([*[df.schema[c] for c in ("doc_id", *keep)], T.StructField("score", T.DoubleType())]))
