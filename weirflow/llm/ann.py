@@ -4,13 +4,15 @@ A vector is coded as a sum of full-dimensional codewords, one from each of BOOKS
 k-means of the residuals the books before left, trained on a bounded sample (SAMPLE vectors), and codes
 are found by beam search over all books. A code keeps the norms of its vector and of its sum. A query's
 inner products with all codewords form a lookup table; codes are scored by adding table entries, scaled
-by the stored norms. In every block the RERANK best scores (all ties at the edge by smaller id) are
-computed exactly in double precision on the original vectors; the best k of all blocks are the result.
+by the stored norms. The best scores of all rows (see `reranked`; ties at the edge by smaller id) are
+computed exactly in double precision on the original vectors, and the best `top` of them are the result.
 
-Queries and rows meet in blocks of bounded size, BLOCK rows by QUERIES queries; every row is scored.
+Codes and queries meet in blocks of bounded size, BLOCK rows by QUERIES queries; every row is scored.
+Original vectors move only to the queries whose candidates they are.
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take
-no part. Ids that tie in score go by smaller id; a query's own id is never its neighbour. Repeated rows
-count as one candidate of their id for each row. An empty table gives no rows. Null ids take no part.
+no part. Ids that tie in score go by smaller id; a query's own id is never its neighbour. Rows of one id
+count once, as a query and as a candidate: as the least of their vectors. An empty table gives no rows.
+Null ids take no part.
 """
 
 from __future__ import annotations
@@ -23,8 +25,13 @@ from pyspark.sql.window import Window
 
 from weirflow.llm.common import saved, ship
 
-BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 8, 256, 20_000, 8, 8
-BLOCK, QUERIES, RERANK, TOP = 8192, 1024, 640, 20
+BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 16, 256, 20_000, 8, 8
+BLOCK, QUERIES, TOP = 1 << 16, 2048, 20
+
+
+def reranked(rows: int, top: int = TOP) -> int:
+    """Candidates computed exactly for each query: 60 of 2,000 rows, and more as the rows to the power 0.6."""
+    return max(3 * top, int(np.ceil(60 * (rows / 2000) ** 0.6)))
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
@@ -53,29 +60,24 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 5)
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
-    """Codes (n, books) by beam search: at each book the `beam` best partial sums go on."""
-    m, k, _ = books.shape
+    """Codes (n, books) by beam search: at each book the `beam` sums of least residual go on."""
+    m, k, d = books.shape
     out = np.empty((len(x), m), np.uint8)
-    flat = books.reshape(m * k, -1)
-    cross = flat @ flat.T
-    norms = np.diag(cross)
-    for at in range(0, len(x), 1024):
-        part = x[at : at + 1024].astype(np.float32)
+    norms = (books**2).sum(axis=2)
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512].astype(np.float32)
         n = len(part)
-        dots = part @ flat.T
-        # cost of a partial sum s of x: |s|^2 - 2 x.s
-        cost, codes = np.zeros((n, 1), np.float32), np.zeros((n, 1, 0), np.int64)
+        rest, cost, codes = part[:, None, :], np.zeros((n, 1), np.float32), np.zeros((n, 1, 0), np.uint8)
         for j in range(m):
-            own = slice(j * k, (j + 1) * k)
-            step = norms[own] - 2 * dots[:, None, own]
-            total = cost[:, :, None] + step
-            for i in range(j):
-                total = total + 2 * cross[codes[:, :, i] + i * k, own]
+            # cost of a partial sum, less the vector's own square: falls by 2 r.c - c.c with the codeword c at residual r
+            total = cost[:, :, None] + norms[j] - 2 * (rest.reshape(-1, d) @ books[j].T).reshape(n, -1, k)
             width = min(beam if j < m - 1 else 1, total.shape[1] * k)
             total = total.reshape(n, -1)
             best = np.argpartition(total, width - 1, axis=1)[:, :width]
             cost = np.take_along_axis(total, best, 1)
-            codes = np.concatenate((np.take_along_axis(codes, (best // k)[:, :, None], 1), (best % k)[:, :, None]), axis=2)
+            held, word = best // k, best % k
+            codes = np.concatenate((np.take_along_axis(codes, held[:, :, None], 1), word[:, :, None].astype(np.uint8)), axis=2)
+            rest = np.take_along_axis(rest, held[:, :, None], 1) - books[j][word]
         out[at : at + n] = codes[np.arange(n), np.argmin(cost, axis=1)]
     return out
 
@@ -85,79 +87,98 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of vectors that take part, as arrays of double."""
-    df = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    """(vec_id, v) of vectors that take part, one of each id; floats stay floats, other numbers become doubles."""
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    v = F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")
+    df = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     df = df.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     size = df.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    return df.where(F.size("v") == (size.n if size else 0))
+    df = df.where(F.size("v") == (size.n if size else 0))
+    if df.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return df
+    return df.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    return np.array(column.flatten()).reshape(n, -1)
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: np.ndarray, rerank: int, top: int):
-    """(query place, row place, score) of each query's best `top` rows of a block; rows are in order of id."""
+def best_codes(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: np.ndarray, most: int):
+    """(query place, row place, score) of each query's best `most` codes; rows are in order of id."""
     m, k, _ = books.shape
-    tables = (queries.astype(np.float32) @ books.reshape(m * k, -1).T).reshape(len(queries), m, k)
-    codes = codes.astype(np.int64)
+    codes = np.ascontiguousarray(codes.T).astype(np.int64)
     out = []
     for i in range(len(queries)):
-        near = tables[i, 0][codes[:, 0]]
+        table = (books.reshape(m * k, -1) @ queries[i].astype(np.float32)).reshape(m, k)
+        near = table[0][codes[0]]
         for j in range(1, m):
-            near = near + tables[i, j][codes[:, j]]
+            near += table[j][codes[j]]
         near = near * scale
         near[ids == query_ids[i]] = -np.inf
-        n = min(rerank, len(near))
+        n = min(most, len(near))
         edge = np.partition(near, len(near) - n)[len(near) - n]
         above = np.flatnonzero(near > edge)
         pick = np.concatenate((above, np.flatnonzero(near == edge)[: n - len(above)]))
-        pick = np.sort(pick[ids[pick] != query_ids[i]])
-        exact = (x[pick] * queries[i]).sum(axis=1)
-        best = np.argsort(-exact, kind="stable")[:top]
-        out.append((np.full(len(best), i), pick[best], exact[best]))
+        pick = pick[ids[pick] != query_ids[i]]
+        out.append((np.full(len(pick), i), pick, near[pick]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
-def search(vectors: DataFrame, is_query, top: int = TOP, rerank: int = RERANK, books: int = BOOKS, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, top: int = TOP, rerank: int | None = None, books: int = BOOKS, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the `top` rows of largest inner product found for every query row."""
     spark = vectors.sparkSession
     ship(spark)
     df = valid(vectors, id_col, vec_col)
     total = df.count()
-    kind = df.schema["vec_id"].dataType.simpleString()
+    kind, array = (df.schema[c].dataType.simpleString() for c in ("vec_id", "v"))
     if not total:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    most = rerank or reranked(total, top)
     share = int(min(1.0, sample / total) * (1 << 30))
-    chosen = df.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30)) <= share).orderBy("vec_id").select("v").collect()
-    chosen = chosen or df.limit(1).collect()
-    trained = train(np.array([r.v for r in chosen]), books)
+    chosen = df.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30)) <= share).toArrow()  # about `sample` vectors
+    chosen = (chosen if chosen.num_rows else df.limit(1).toArrow()).sort_by("vec_id")
+    trained = train(matrix(chosen.column("v").combine_chunks(), chosen.num_rows), books)
     shared = spark.sparkContext.broadcast(trained)  # books x words x dimensions: fixed size
 
     def code(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+                x = matrix(batch.column("v"), batch.num_rows).astype(np.float64)
                 codes = encode(x, shared.value)
                 norm, length = np.linalg.norm(decode(codes, shared.value), axis=1), np.linalg.norm(x, axis=1)
                 scale = np.where(norm > 0, length / np.maximum(norm, 1e-30), 1.0)
                 yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in codes]), pa.array(scale)], ["vec_id", "v", "code", "scale"])
 
-    coded = saved(df.mapInArrow(code, f"vec_id {kind}, v array<double>, code binary, scale double"))
-    blocks, groups = -(-total // BLOCK), max(1, -(-coded.where(is_query(F.col("vec_id"))).count() // QUERIES))
-    # Rows of equal vectors may be many, rows of an id may not: blocks go by a hash of the id.
-    of = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    coded = saved(df.mapInArrow(code, f"vec_id {kind}, v {array}, code binary, scale double"))
+    asked = coded.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    blocks, groups = -(-total // BLOCK), max(1, -(-asked.count() // QUERIES))
+    of = lambda c, salt, n: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = coded.withColumn("b", of("block", blocks)).withColumn("g", each(groups))
-    asked = coded.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v", of("group", groups).alias("g"), each(blocks).alias("b"))
+    rows = coded.select("vec_id", "code", "scale", of("vec_id", "block", blocks).alias("b"), each(groups).alias("g"))
+    tiles = asked.select("query_id", "q", of("query_id", "group", groups).alias("g"), each(blocks).alias("b"))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        fields = [("query_id", left.schema.field("query_id").type), ("vec_id", right.schema.field("vec_id").type), ("score", pa.float64())]
+        fields = [("query_id", left.schema.field("query_id").type), ("vec_id", right.schema.field("vec_id").type), ("near", pa.float64())]
         if not left.num_rows or not right.num_rows:
             return pa.schema(fields).empty_table()
         right = right.sort_by("vec_id")
-        matrix = lambda t: np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)
         ids, query_ids = np.array(right.column("vec_id")), np.array(left.column("query_id"))
         codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        q, r, score = nearest(matrix(left), query_ids, matrix(right), ids, codes, np.array(right.column("scale")), shared.value, rerank, top)
-        return pa.table([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score)], schema=pa.schema(fields))
+        queries = matrix(left.column("q").combine_chunks(), left.num_rows)
+        q, r, near = best_codes(queries, query_ids, ids, codes, np.array(right.column("scale")), shared.value, most)
+        return pa.table([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(near)], schema=pa.schema(fields))
+
+    found = tiles.groupBy("b", "g").cogroup(rows.groupBy("b", "g")).applyInArrow(block, f"query_id {kind}, vec_id {kind}, near double")
+    order = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
+    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query_id", "vec_id")
+
+    def exact(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, q = (matrix(batch.column(c), batch.num_rows).astype(np.float64) for c in ("v", "q"))
+                yield pa.record_batch([batch.column("query_id"), batch.column("vec_id"), pa.array((x * q).sum(axis=1))], ["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("b", "g").cogroup(rows.groupBy("b", "g")).applyInArrow(block, f"query_id {kind}, vec_id {kind}, score double")
+    pairs = found.join(coded.select("vec_id", "v"), "vec_id").join(asked, "query_id").select("query_id", "vec_id", "v", "q")
+    scored = pairs.mapInArrow(exact, f"query_id {kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
