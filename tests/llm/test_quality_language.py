@@ -83,6 +83,32 @@ def test_forward_sums_all_segmentations():
             assert got[i, k] == pytest.approx(np.log(brute_likelihood(w, set(pieces), dict(zip(pieces, p[:, k], strict=False)), p[-1, k])))
 
 
+def brute_log(word, p, floor):
+    """Log likelihood by dynamic programming over the places of a word."""
+    at = [0.0]
+    for e in range(1, len(word) + 1):
+        flows = [at[e - n] + np.log(p[word[e - n : e]]) for n in range(1, min(langid.LONGEST, e) + 1) if word[e - n : e] in p]
+        if word[e - 1] not in p:
+            flows.append(at[e - 1] + np.log(floor))
+        at.append(np.logaddexp.reduce(flows))
+    return at[-1]
+
+
+def test_words_of_any_length():
+    """A word of 500 characters and one of 20,000, among short ones: nothing is cut and nothing vanishes."""
+    pieces = ["a", "b", "ab", "aba", "▁", "▁a", "ba", "bab", "▁ab"]
+    trie, rng = langid.Trie(pieces), np.random.default_rng(4)
+    p = rng.random((len(pieces) + 1, 2)) * 1e-4
+    words = ["▁ab", "▁" + "".join(rng.choice(list("abx"), 499)), "▁" + "ab" * 10_000, "▁b"]
+    got = langid.Lattice(words, trie).log_likelihood(p)
+    for k in range(2):
+        table = dict(zip(pieces, p[:, k], strict=False))
+        assert np.allclose(got[:, k], [brute_log(w, table, p[-1, k]) for w in words], rtol=1e-9)
+    seen = langid.Lattice(words[1:2], trie).expected(p[:, :1], np.ones(1))
+    assert sum(n * len(x) for n, x in zip(seen, [*pieces, "x"], strict=True)) == pytest.approx(500)
+    assert langid.parts("a" * 70 + " b") == ["▁" + "a" * 70, "▁b"]
+
+
 def test_expected_counts_are_gradients():
     """Expected piece counts equal the derivative of the likelihood by the log of each probability."""
     pieces = ["a", "b", "ab", "▁", "▁a", "ba"]

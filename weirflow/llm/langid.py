@@ -6,8 +6,8 @@ algorithm; that of a text is the product over its words, lower-cased and split a
 prediction is the likeliest language, the score its posterior under equal priors. Pieces are learned
 by expectation maximisation (forward-backward) from a bounded sample: about DOCS whole texts a language.
 
-Null texts and those without a letter: `und`, score 0; so are all texts if nothing was learned. Words of
-over PART characters are cut into parts of that length. Ties go to the first language by code point.
+Null texts and those without a letter: `und`, score 0; so are all texts if nothing was learned. Words may
+have any length: probabilities along a word are scaled anew as they fall. Ties go to the first language by code point.
 Repeated rows give repeated rows; an empty table gives no rows. Columns of other names play no part.
 """
 
@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 from weirflow.llm.common import map_steps, ship
 
 DOCS, ROUNDS, PRIOR, FLOOR = 400, 4, 0.05, 1e-7
-PART, LONGEST, CACHE = 32, 16, 300_000
+LONGEST, CACHE = 16, 300_000
+#: Places of words worked on at once; places after which probabilities are scaled anew; characters of words kept.
+CELLS, RESCALE, CHARS = 1 << 20, 8, 1 << 25
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -87,10 +89,20 @@ def vocabulary(path: str) -> Trie:
 
 def parts(text: str) -> list[str]:
     """The words of a text as they are scored, with a mark where a word begins."""
-    words = ["▁" + word for word in text.lower().split()]
-    if max(map(len, words), default=0) > PART:
-        words = [word[i : i + PART] for word in words for i in range(0, len(word), PART)]
-    return words
+    return ["▁" + word for word in text.lower().split()]
+
+
+def groups(words: list[str]):
+    """The places of words by length, cut so that as many rows as words and columns as the longest make at most CELLS (one word: any)."""
+    by = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable").tolist()
+    held: list[int] = []
+    for i in by:
+        if held and (len(held) + 1) * (len(words[i]) + 1) > CELLS:
+            yield held
+            held = []
+        held.append(i)
+    if held:
+        yield held
 
 
 class Lattice:
@@ -123,38 +135,62 @@ class Lattice:
         at, size = np.concatenate([*at, rest]), np.concatenate([*size, np.ones(len(rest), np.int64)])
         piece = np.concatenate([*piece, np.full(len(rest), trie.n, np.int32)])
         end = start_of[at] + size
-        by = np.argsort(end.astype(np.int16), kind="stable")
+        by = np.argsort(end, kind="stable")
         self.word, self.start, self.end, self.piece = word_of[at][by], start_of[at][by], end[by], piece[by]
         self.most = int(self.lengths.max(initial=0))
         self.cuts = np.searchsorted(self.end, np.arange(self.most + 2))
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """(word, place, language): the probability of all segmentations up to a place. p: (piece, language)."""
-        alpha = np.zeros((len(self.lengths), self.most + 1, p.shape[1]))
-        alpha[:, 0] = 1
+    def log_likelihood(self, p: np.ndarray) -> np.ndarray:
+        """(word, language): log of the summed probability of all segmentations. p: (piece, language)."""
+        n, k, wide = len(self.lengths), p.shape[1], LONGEST + 1
+        ring, scale, out = np.zeros((n, wide, k)), np.zeros((n, k)), np.empty((n, k))
+        ring[:, 0] = 1
         for e in range(1, self.most + 1):
             at = slice(self.cuts[e], self.cuts[e + 1])
             w = self.word[at]
-            flow = alpha[w, self.start[at]] * p[self.piece[at]]
-            for k in range(p.shape[1]):
-                alpha[:, e, k] = np.bincount(w, flow[:, k], len(self.lengths))
-        return alpha
+            flow = ring[w, self.start[at] % wide] * p[self.piece[at]]
+            here = np.stack([np.bincount(w, flow[:, j], n) for j in range(k)], axis=1) if k else ring[:, 0]
+            ring[:, e % wide] = here
+            done = self.lengths == e
+            if done.any():
+                out[done] = np.log(here[done]) + scale[done]
+            if e % RESCALE == 0:  # only ratios of the last places matter
+                top = ring.max(axis=1)
+                ring /= np.where(top > 0, top, 1)[:, None]
+                scale += np.log(np.where(top > 0, top, 1))
+        return out
 
-    def log_likelihood(self, p: np.ndarray) -> np.ndarray:
-        alpha = self.forward(p)
-        return np.log(np.maximum(alpha[np.arange(len(self.lengths)), self.lengths], 1e-300))
+    def logs(self, q: np.ndarray, back: bool = False) -> np.ndarray:
+        """(word, place): log probability of all segmentations up to a place or, going back, from it to the end. q: of pieces."""
+        n, wide = len(self.lengths), LONGEST + 1
+        out, ring, scale = np.full((n, self.most + 1), -np.inf), np.zeros((n, wide)), np.zeros(n)
+        # Going back, place e of a word is its length less e; edges are grouped by where they begin.
+        start, end = (self.lengths[self.word] - self.end, self.lengths[self.word] - self.start) if back else (self.start, self.end)
+        by = np.argsort(end, kind="stable")
+        word, start, piece = self.word[by], start[by], self.piece[by]
+        cuts = np.searchsorted(end[by], np.arange(self.most + 2))
+        ring[:, 0], out[:, 0] = 1, 0
+        for e in range(1, self.most + 1):
+            at = slice(cuts[e], cuts[e + 1])
+            w = word[at]
+            here = np.bincount(w, ring[w, start[at] % wide] * q[piece[at]], n)
+            ring[:, e % wide] = here
+            some = here > 0
+            out[some, e] = np.log(here[some]) + scale[some]
+            if e % RESCALE == 0:
+                top = ring.max(axis=1)
+                top = np.where(top > 0, top, 1)
+                ring /= top[:, None]
+                scale += np.log(top)
+        return out
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected piece counts of one language (p: one column) over words that occur `counts` times."""
-        alpha = self.forward(p)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(self.lengths)), self.lengths] = 1
         q = p[:, 0]
-        for e in range(self.most, 0, -1):
-            at = slice(self.cuts[e], self.cuts[e + 1])
-            np.add.at(beta, (self.word[at], self.start[at]), beta[self.word[at], e] * q[self.piece[at]])
-        total = np.maximum(alpha[np.arange(len(self.lengths)), self.lengths], 1e-300)
-        flow = alpha[self.word, self.start] * q[self.piece] * beta[self.word, self.end] / total[self.word] * counts[self.word]
+        alpha, beta = self.logs(q), self.logs(q, back=True)
+        total = alpha[np.arange(len(self.lengths)), self.lengths]
+        left = beta[self.word, self.lengths[self.word] - self.end]
+        flow = np.exp(alpha[self.word, self.start] + np.log(q[self.piece]) + left - total[self.word]) * counts[self.word]
         return np.bincount(self.piece, flow, len(q))
 
 
@@ -166,11 +202,12 @@ def fit(samples: dict[str, Counter], path: str, rounds: int = ROUNDS) -> tuple[l
     columns = []
     for name in names:
         words = list(samples[name])
-        lattice, counts = Lattice(words, trie), np.array([samples[name][w] for w in words], float)
+        counts = np.array([samples[name][w] for w in words], float)
+        lattices = [(Lattice([words[i] for i in at], trie), counts[at]) for at in groups(words)]
         p = np.full((n + 1, 1), 1 / n)
         p[n] = FLOOR
         for _ in range(rounds):
-            seen = lattice.expected(p, counts)[:n] + PRIOR
+            seen = sum((lattice.expected(p, some)[:n] for lattice, some in lattices), np.zeros(n)) + PRIOR
             p[:n, 0] = seen / seen.sum()
         columns.append(p[:, 0])
     return names, np.stack(columns, axis=1) if columns else np.zeros((n + 1, 0))
@@ -202,7 +239,7 @@ def learn(docs: DataFrame, learnable, path: str, per_language: int = DOCS, id_co
 
 
 class Scorer:
-    """Scores texts; likelihoods of words are kept, up to CACHE of them."""
+    """Scores texts; likelihoods of words are kept, up to CACHE words or CHARS characters."""
 
     def __init__(self, names: list[str], p: np.ndarray, path: str):
         self.names, self.p, self.trie = names, p, vocabulary(path)
@@ -210,18 +247,23 @@ class Scorer:
 
     def clear(self):
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.table = np.zeros((0, len(self.names)))
 
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), len(self.names)))
+        for at in groups(words):
+            out[at] = Lattice([words[i] for i in at], self.trie).log_likelihood(self.p)
+        return out
+
     def add(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            values = Lattice(some, self.trie).log_likelihood(self.p)
-            self.known.update(zip(some, range(len(self.table), len(self.table) + len(some)), strict=True))
-            self.table = np.concatenate((self.table, values))
+        self.known.update(zip(words, range(len(self.table), len(self.table) + len(words)), strict=True))
+        self.table = np.concatenate((self.table, self.likelihoods(words)))
+        self.chars += sum(map(len, words))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         cut = [parts(t) if t is not None and self.names and LETTER.search(t) else None for t in texts]
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.chars > CHARS:
             self.clear()
         new = set()
         for words in cut:
