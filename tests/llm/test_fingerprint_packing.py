@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weirflow.llm import fingerprint as fp
@@ -94,7 +95,7 @@ def test_edited_texts_are_closer_than_others(spark):
 def test_pack_round_trip(docs, none):
     path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tok.encode_special_tokens = True
+    docs = docs.unionByName(docs.where("doc_id = 103").withColumn("text", F.lit("a<|endoftext|> b <|endoftext|><|endoftext|>\n<|endof")).withColumn("doc_id", F.lit(200).cast("long")))
     rows, source = packing.pack(docs, path, public_tokenizers.PATTERN, items=40).collect(), docs.collect()
     pieces, windows, by_id = defaultdict(list), defaultdict(list), defaultdict(list)
     for r in source:

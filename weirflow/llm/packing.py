@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame
 from weirflow.llm.common import steps, texts_of
 
 CAPACITY, RUN, ITEMS, END = 2048, 512, 512, 1
+#: Fixed values of the vocabulary: its special string and that string's id.
+SPECIAL = {"<|endoftext|>": 50256}
 SCHEMA = "start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str):
-    """Byte-level BPE from a rank file; strings of special tokens are ordinary text."""
+    """Byte-level BPE from a rank file; strings of special tokens give their one id, as the vocabulary's own tokenizer does."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(SPECIAL))
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -79,7 +81,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
     def mapped(batches):
         from pyspark import TaskContext
 
-        encode, sequences = encoder(ranks_path, pattern).encode_ordinary, count(TaskContext.get().partitionId() << 36)
+        model, sequences = encoder(ranks_path, pattern), count(TaskContext.get().partitionId() << 36)
         held: list[tuple] = []
 
         def close(group: list[tuple]) -> list[tuple]:
@@ -96,11 +98,14 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
             for step in steps(batch):
                 rows, id_type = [], step.column("doc_id").type
                 for doc_id, text in zip(step.column("doc_id").to_pylist(), step.column("text").to_pylist(), strict=True):
-                    ids = np.array([*encode(text), end], "<u4")
+                    ids = np.array([*model.encode(text, allowed_special="all"), end], "<u4")
                     n, at = len(ids), 0
                     while n - at >= capacity:
                         rows.append((doc_id, at, capacity, ids[at : at + capacity].tobytes(), n, next(sequences), 0))
                         at += capacity
+                        if len(rows) >= 4096:
+                            yield emit(rows, id_type)
+                            rows = []
                     while at < n:
                         size = min(run, n - at)
                         held.append((doc_id, at, size, ids[at : at + size].tobytes(), n))
