@@ -243,7 +243,7 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             table = F.create_map(*[x for top, p in known for x in (F.lit(top), F.lit(p))])
             to = F.coalesce(F.element_at(table, F.col("doc_id")) if len(known) == len(follows) else F.when(F.col("doc_id").isNotNull(), F.element_at(table, F.col("doc_id"))), to)
         rows = rows.unionAll(halo.select("doc_id", "text", to.alias("part"), F.lit(1).alias("halo")))
-    return rows.repartitionByRange(max(1, len(order)), "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text"), cuts
+    return rows.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text"), cuts
 
 
 def edited(text: str, following: str) -> str:
