@@ -94,14 +94,17 @@ def mix(docs: DataFrame, keep: tuple = (), weights: tuple = WEIGHTS, share: floa
     by_source = saved(apportion(by_source, ["_one"], ["source"], "target", "_seats", "_quota"))
     plan = by_source.select(F.col("source").alias("_src"), "source_size", "target", "_block", "_shards", "_quota")
     same = F.col("source").eqNullSafe(F.col("_src"))
-    shards = narrow.groupBy("source", F.pmod("_h", F.lit(1 << 20)).alias("_cell")).agg(F.sum("size").alias("_words"))
-    shards = shards.join(plan, same).groupBy("_src", "source_size", "target", "_block", "_shards", "_quota", (F.col("_cell") % F.col("_shards")).alias("_shard")).agg(F.sum("_words").alias("_words"))
+    # A shard is a run of the seeded hash's last 20 bits, or of all its bits where there are more shards than those tell apart.
+    shard = (F.pmod("_h", F.greatest(F.lit(1 << 20).cast("long"), F.col("_shards"))) % F.col("_shards")).alias("_shard")
+    shards = narrow.join(plan, same).groupBy("_src", "source_size", "target", "_block", "_shards", "_quota", shard).agg(F.sum("size").alias("_words"))
     shards = apportion(shards, ["_src"], ["_shard"], "_words", "_quota", "_blocks")
     quotas = shards.select("_src", "_shard", "source_size", "target", "_words", F.least(F.col("_blocks") * F.col("_block"), repeat * F.col("_words")).alias("_take"))
     # The number of shards rides along from the plan: one value for all sources.
-    rows = rows.join(plan.select("_src", "_shards"), same).withColumn("_shard", F.pmod("_h", F.lit(1 << 20)) % F.col("_shards")).drop("_src", "_shards")
+    rows = rows.join(plan.select("_src", "_shards"), same).withColumn("_shard", shard).drop("_src", "_shards")
     rows = rows.join(quotas.withColumnRenamed("_shard", "_s"), same & (F.col("_shard") == F.col("_s")))
-    order = Window.partitionBy("source", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Texts without words take nothing wherever they stand; kept apart, they don't fill the shards that one task orders.
+    rows = rows.withColumn("_blank", F.when(F.col("size") == 0, F.pmod("_h", F.lit(1 << 16))).otherwise(F.lit(-1)))
+    order = Window.partitionBy("source", "_shard", "_blank").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_upto", F.sum("size").over(order))
     passes = F.when(F.col("_words") > 0, F.expr("_take div _words")).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumn("_passes", passes)
