@@ -64,6 +64,42 @@ def test_quality_edges(spark, docs, none):
     assert quality.classify(docs, model, keep=("text", "size", "fp")).columns == ["doc_id", "text", "size", "fp", "score"]
 
 
+def test_lines_of_one_document_get_different_labels(spark):
+    """Junk lines of bad documents spliced into good texts, at the front, in the middle and at the end: they are bad, the others good."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.learn(docs, labels)
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    junk = [x for i, t in texts.items() if known.get(i) == 0 for x in t.split("\n") if x.count("$$$") > 3 or x.count(" | ") > 3][:40]
+    good = [t for i, t in texts.items() if known.get(i) == 1 and t.count("\n") > 8][:30]
+    rows, where = [], {}
+    for i, t in enumerate(good):
+        lines, at = t.split("\n"), (0, t.count("\n") // 2, t.count("\n") + 1)[i % 3]
+        rows.append((i, "\n".join(lines[:at] + junk[i : i + 4] + lines[at:])))
+        where[i] = range(at, at + 4)
+    found = quality.label_lines(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(found) == sum(t.count("\n") + 1 for _, t in rows)
+    assert np.mean([r.good < 0.5 for r in found if r.line in where[r.doc_id]]) > 0.95
+    assert np.mean([r.good > 0.5 for r in found if r.line not in where[r.doc_id]]) > 0.95
+    twice = labels.unionByName(labels.where("quality = 0").withColumn("quality", 1 - F.col("quality")))
+    again = quality.learn(docs, twice)
+    assert np.allclose(again["w"], model["w"], atol=1e-6) and quality.label_lines(docs.limit(3), None).where("good <> 0.5").count() == 0
+
+
+def test_very_many_lines():
+    """Doubling over a long text gives what enumeration gives for short ones, and no number vanishes."""
+    rng = np.random.default_rng(8)
+    score, link = rng.normal(size=30_000) * 40, rng.normal(size=(2, 2)) * 3
+    p, pairs = quality.marginals(score, link, np.array([1, 29_990, 9]))
+    assert np.isfinite(p).all() and pairs.sum() == pytest.approx(29_989 + 8)
+    ahead = np.zeros(2)
+    for i in range(1, 29_991):  # the filter's own recursion, in logs
+        own = np.array([-score[i], score[i]]) / 2
+        ahead = own + (np.logaddexp.reduce(ahead[:, None] + link, axis=0) if i > 1 else 0)
+        ahead -= np.logaddexp.reduce(ahead)
+    assert p[29_990] == pytest.approx(np.exp(ahead[1]))
+
+
 def brute_likelihood(word, pieces, p, floor):
     if not word:
         return 1.0
