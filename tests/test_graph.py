@@ -52,7 +52,7 @@ def test_edges(spark, partitions):
     assert sorted(r.a for r in made["all", "out"].collect()) == ["x", "x", "y", "z"]
     assert [r.a for r in made["zero", "out"].collect()] == ["x"]
     rows = made["read", "out"].collect()
-    assert sorted((r.a, r.b) for r in rows) == [("x", "1"), ("x", "1"), ("y", "2"), ("z", "3")]  # each partition keeps its own first
+    assert sorted((r.a, r.b) for r in rows) == [("x", "1"), ("y", "2"), ("z", "3")]  # the reader keeps the first of all producers
     assert {r.p for r in rows if r.a == "x"} == {ord("x") % 4}
     assert made["copy", "one"].count() == made["copy", "two"].count() == 4
 
@@ -166,3 +166,53 @@ def test_pipelines(spark):
     with pytest.raises(GraphError):
         reader.connect(task, "y", "missing")
     assert "outer.inner.make" in graph.describe() and "[all_to_all]" in graph.describe()
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 4, 5])
+def test_reducers_combine_over_all_producers(spark, partitions):
+    """Each of several producer partitions makes the same words; readers of every kind of edge see one sum."""
+    make = lambda ctx: {"w": ctx.generate().select("p", F.lit(1.0).alias("w"), F.explode(F.array(F.lit("the"), F.lit("fox"), F.lit("the"))).alias("str"))}
+    graph = Graph()
+    port = {"order": "Sort_Str", "reducer": "Sum_W"}
+    for name in ("one", "two"):
+        graph.task(name, make).output("w", "StringWeight", shuffle="Hash_Str", **port)
+        graph.task(f"{name}_plain", make).output("w", "StringWeight", **port)
+    graph.task("dealt").input("w", "one", Edge.SHUFFLE).output("out")
+    graph.task("both").input("w", "one|two", Edge.SHUFFLE).output("out")
+    graph.task("all").input("w", "one_plain", Edge.ALL_TO_ALL).output("out")
+    graph.task("own").input("w", "one_plain|two_plain", Edge.PARTITION).output("out")
+    made = Engine(spark, graph, partitions).plan()
+    sums = lambda name: sorted((r.str, r.w) for r in made[name, "out"].collect())
+    n = float(partitions)
+    assert sums("dealt") == sums("all") == [("fox", n), ("the", 2 * n)]
+    assert sums("both") == [("fox", 2 * n), ("the", 4 * n)]
+    assert sums("own") == sorted([("fox", 2.0), ("the", 4.0)] * partitions)
+
+
+def test_round_robin_and_reading_options(spark):
+    graph = Graph()
+    rows = spark.range(103).select(F.lit(1.0).alias("w"), F.concat(F.lit("x"), F.col("id") % 7).alias("str"))
+    graph.task("make", lambda ctx: {"w": rows}).output("w", "StringWeight", shuffle="round_robin", order="Sort_W_Desc")
+    graph.task("read").input("w", "make", Edge.SHUFFLE).output("out")
+    graph.task("files", lambda ctx: {"out": ctx.inputs["w"]}, partitioned=False).input_files("w", lambda s: rows, expect="StringWeight", reducer="Sum_W", order="Sort_Str", limit=2).output("out")
+    made = Engine(spark, graph, 4).plan()
+    counts = [r["count"] for r in made["read", "out"].groupBy("p").count().collect()]
+    assert sorted(counts) == [25, 26, 26, 26]
+    assert [(r.str, r.w) for r in made["files", "out"].collect()] == [("x0", 15.0), ("x1", 15.0)]
+    with pytest.raises(GraphError):
+        Graph().task("a").output("x", format="paper")
+
+
+def test_inputs_handed_inwards_and_outputs_outwards(spark):
+    graph = Graph()
+    graph.task("make", pairs(spark)).output("out", "StringPair")
+    outer = graph.pipeline("outer").bind_input("rows", "make", "out")
+    inner = outer.pipeline("inner")
+    outer.expose_input("rows", inner, "got")
+    task = inner.task("count", lambda ctx: {"n": ctx.inputs["x"].groupBy().count(), "m": ctx.inputs["none"]}, partitioned=False)
+    assert inner.connect(task, "x", "got") and not inner.connect(task, "none", "nowhere", empty="StringPair")
+    task.output("n").output("m", "StringPair")
+    inner.expose_output("n", "count", "n").bind_output("n", outer, "total")
+    name, port = outer.source("total")
+    made = Engine(spark, graph, 4).plan()
+    assert made[name, port].first()["count"] == 4 and made[name, "m"].count() == 0

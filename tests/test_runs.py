@@ -151,3 +151,65 @@ def test_command_line(spark, tmp_path, lines):
     assert call("--debug", "count:1", str(tmp_path / "d")) == 0 and "counts" in said[0]
     assert call("-t", "nobody") == 1 and call("-a", "x") == 2 and call("-a", "x=1") == 1
     assert call("-a", "x=1", "--new-args", "-f", "-t", "aside") == 0
+
+
+def counting(start, keep=True):
+    """Every partition p makes ten numbers from start + 10 p, dealt by their remainder."""
+    from pyspark.sql import functions as F
+
+    def src(ctx):
+        return {"n": ctx.generate(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("p", (F.col("p") * 10 + F.col("k") + start[0]).cast("long").alias("val"))}
+
+    graph = Graph()
+    graph.task("src", src).output("n", "UInt32", shuffle=lambda n: F.pmod("val", F.lit(n)).cast("int"), keep=keep)
+    graph.task("read", lambda ctx: {"out": ctx.inputs["n"]}).input("n", "src", Edge.SHUFFLE).output("out", "UInt32")
+    return graph
+
+
+def test_chosen_partitions_run_alone(spark, tmp_path):
+    start = [0]
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    call = lambda *argv: main(lambda args: counting(start), spark, ["-w", str(tmp_path / "ws"), *argv], [].append)
+    assert call() == 0
+    start[0] = 1000
+    assert call("-f", "-t", "src:2") == 0
+    assert sorted(r.val for r in ws.load("src", "n").collect()) == sorted([*range(20), *range(1020, 1030), *range(30, 40)])
+    runner = Runner(Engine(spark, counting(start), 4), ws)
+    assert runner.stale() == {"read"}
+    runner.run()
+    assert sorted(r.val for r in ws.load("read", "out").collect()) == sorted([*range(20), *range(1020, 1030), *range(30, 40)])
+    fresh = Workspace(spark, str(tmp_path / "fresh"))
+    runner = Runner(Engine(spark, counting(start), 4), fresh)
+    assert runner.run({"src": {1, 3}}) == ["src"]
+    assert sorted(r.val for r in fresh.load("src", "n").collect()) == [*range(1010, 1020), *range(1030, 1040)]
+    assert runner.stale() == {"src", "read"}
+    assert runner.run({"src": {0, 2}}) == ["src"] and runner.stale() == {"read"}
+
+
+def test_debug_is_of_the_partition_that_makes_rows(spark, tmp_path):
+    start = [0]
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    engine = Engine(spark, counting(start), 4)
+    paths = inspect.debug(engine, "src", 2, str(tmp_path / "a"), ws)
+    assert sorted(r.val for r in spark.read.parquet(paths["n"]).collect()) == list(range(20, 30))
+    Runner(engine, ws).run()
+    start[0] = 5  # stored inputs are read, not made anew
+    paths = inspect.debug(engine, "read", 1, str(tmp_path / "b"), ws)
+    assert sorted(r.val for r in spark.read.parquet(paths["out"]).collect()) == [x for x in range(40) if x % 4 == 1]
+
+
+@pytest.mark.parametrize("format", ["parquet", "json", "csv", "orc"])
+def test_outputs_are_stored_in_order_and_format(spark, tmp_path, format):
+    graph = Graph()
+    rows = [(0, 1.0, "a"), (0, 3.0, "b"), (1, 2.0, "c"), (0, 2.0, "d"), (1, 5.0, "e")]
+    body = lambda ctx: {"out": ctx.spark.createDataFrame(rows, "p int, w double, str string")}
+    graph.task("make", body).output("out", "StringWeight", order="Sort_W_Desc", format=format, compression="gzip" if format != "orc" else "zlib")
+    graph.task("few").input("x", "make", Edge.PARTITION, "out", limit=1).output("out", "StringWeight")
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    engine = Engine(spark, graph, 2)
+    Runner(engine, ws, keep=True).run()
+    want = ["3.0\tb", "2.0\td", "1.0\ta", "5.0\te", "2.0\tc"]
+    assert [r.line for r in inspect.dump(engine, ws, "make", "out").collect()] == want
+    assert [f"{r.w}\t{r.str}" for r in ws.load("make", "out").coalesce(1).collect()] == want
+    assert sorted(r.str for r in ws.load("few", "out").collect()) == ["b", "e"]
+    assert [r.line for r in inspect.sample(engine, ws, "make", "out", 1, 2)[1].orderBy("p").collect()] == ["3.0\tb", "5.0\te"]

@@ -6,6 +6,9 @@ partition number, that number is a function of the row, never of physical placem
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,11 +53,59 @@ def sorted_violations(df: DataFrame, part: str, order: list[str]) -> DataFrame:
     return at.withColumn("_before", before).where(F.col("_before") > F.struct(*order)).drop("_at", "_before")
 
 
+#: Rows of the sample that range bounds are taken from, for each range; they decide balance, never results.
+PER_RANGE = 60
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """Every row's place (long, from 0) in its group `by` in the given order, however large the group.
+
+    Rows go to ranges of the first order column, ranges are counted, and a place is the rows of the ranges
+    before plus the place within the range. Nulls come first. Bounds come from a bounded sample by hash.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col(order[0])
+    total = df.count()
+    share = int(min(1.0, PER_RANGE * ranges / max(total, 1)) * (1 << 30))
+    some = df.where(first.isNotNull() & (F.pmod(F.xxhash64(*order), F.lit(1 << 30)) <= share)).select(first.alias("x"))
+    held = sorted(r.x for r in some.collect())
+    bounds = sorted(set(held[:: max(1, len(held) // ranges)]))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= first)) if bounds else F.lit(0)
+    rows = df.withColumn("_range", bucket)
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")  # a row for each range
+    counts = counts.withColumn("_before", before).drop("_n")
+    same = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), "_before")
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1
+    on = [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    rows = rows.withColumn("_place", place).join(same, on)
+    return rows.select(*df.columns, (F.col("_before") + F.col("_place")).alias(out))
+
+
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt round to `parts` partitions (column p), by their order over all columns: counts are at most one apart."""
+    one = df.withColumn("_one", F.lit(0))
+    return numbered(one, ["_one"], df.columns, "_at").withColumn("p", F.pmod("_at", F.lit(parts)).cast("int")).drop("_one", "_at")
+
+
 def dense_ids(df: DataFrame, key: str, part: Column, parts: int, out: str = "id") -> DataFrame:
     """Distinct keys with dense ids: place in the partition times partitions, plus the partition."""
     keys = df.select(key).distinct().withColumn("p", part)
-    place = F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1
-    return keys.withColumn(out, (place.cast("long") * parts + F.col("p"))).select(key, "p", out)
+    placed = numbered(keys, ["p"], [key], "_at")
+    return placed.select(key, "p", (F.col("_at") * parts + F.col("p")).alias(out))
+
+
+def group_transform(df: DataFrame, keys: list[str], order: list[str], body: Callable, schema: str) -> DataFrame:
+    """A callback for each group: body(key values, Arrow table of its rows in order) -> Arrow table of `schema`.
+
+    For bodies that expressions can't say. A group is in one task's memory, so it must fit there.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        by = [(c.rstrip("-"), "descending" if c.endswith("-") else "ascending") for c in order]
+        return body(tuple(k.as_py() for k in key), rows.sort_by(by) if by else rows)
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def enrich(facts: DataFrame, names: DataFrame, key: str, name_key: str, name: str, out: str, default: Column | None = None) -> DataFrame:

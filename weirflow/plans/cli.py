@@ -111,7 +111,7 @@ def main(build: Callable[[dict], Graph], spark: SparkSession, argv: list[str] |
             say(inspect.listing(engine, workspace if a.show_files else None))
         else:
             runner = Runner(engine, workspace, a.keep_files, a.new_args)
-            for name in runner.run(set(chosen) if chosen else None, a.force):
+            for name in runner.run(chosen, a.force):
                 say(f"{name}: {next(x['ms'] for x in runner.log if x['task'] == name)} ms")
     except (GraphError, KeyError, FileNotFoundError) as e:
         say(f"error: {e}")

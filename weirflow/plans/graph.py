@@ -4,10 +4,13 @@ A task's body maps the DataFrames of its inputs to those of its outputs. An engi
 gives every partitioned port a column `p` in [0, N); what an edge does with it:
 
   PARTITION   rows stay in their partition; both ends must be partitioned alike
-  SHUFFLE     rows go to the bucket that the output's partitioner names
+  SHUFFLE     rows go to the bucket that the output's partitioner names; of any producer
   ALL_TO_ALL  every consumer partition reads all rows: the port arrives without a partition
   FIRST       every consumer partition reads the rows of partition 0
 
+An output's reducer (or keep-first) combines what each producer partition makes and, where an edge brings
+several of these together (shuffles, all-to-all, unions), once more what a consumer reads.
+
 Bodies return lazy plans; Spark plans each chain of tasks as a whole. Skips are control flow: a small
 set of partitions for each output that a body declares with `ctx.skip`, evaluated before any data.
 """
@@ -28,6 +31,10 @@ class GraphError(ValueError):
     """A graph that can't run: unknown names, types or partition counts that don't fit, cycles."""
 
 
+#: Formats an output can be stored in: all keep names and types, given the port's record type.
+FORMATS = ("parquet", "orc", "json", "csv")
+
+
 class Edge(enum.Enum):
     FIRST = "first"
     PARTITION = "partition"
@@ -39,7 +46,7 @@ class Edge(enum.Enum):
 class Output:
     name: str
     kind: RecordType | None = None
-    shuffle: Callable[[int], Column] | None = None
+    shuffle: Callable[[int], Column] | str | None = None
     order: str | None = None
     reducer: str | None = None
     first: bool = False
@@ -47,20 +54,49 @@ class Output:
     internal: bool = False
     render: Callable[[], Column] | None = None
 
+    compression: str | None = None
+    format: str = "parquet"
+
+    @property
+    def combines(self) -> bool:
+        return self.kind is not None and self.order is not None and bool(self.reducer or self.first)
+
+    def combine(self, df: DataFrame, *within: str) -> DataFrame:
+        """One record for each key of the ordering, in each group `within` (of those columns that are there)."""
+        extra = [c for c in ("p", *within) if c in df.columns]
+        if not self.combines:
+            return df
+        keys = list(dict.fromkeys([*extra, *self.kind.keys(self.order)]))
+        rest = [c for c in self.kind.schema.names if c not in keys]
+        if not rest:
+            df = df.select(*keys).distinct()
+        elif self.first:
+            least = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least"))
+            df = least.select(*keys, *[F.col(f"_least.{c}").alias(c) for c in rest])
+        else:
+            how = self.kind.reducers[self.reducer]
+            df = df.groupBy(*keys).agg(*[how.get(c, F.min)(c).alias(c) for c in rest])
+        return df.select(*extra, *self.kind.schema.names)
+
+    def route(self, df: DataFrame, parts: int) -> DataFrame:
+        """Rows in the partition that the partitioner names; where they were made stands in `made_in`."""
+        if self.shuffle is None:
+            return df
+        if "p" in df.columns:
+            df = df.withColumnRenamed("p", "made_in")
+        if self.shuffle == "round_robin":
+            from weirflow.operators.relational import dealt
+
+            return dealt(df, parts)
+        return df.withColumn("p", self.shuffle(parts))
+
+    def columns(self) -> list[Column]:
+        """Sort columns of the port's ordering, if it has one."""
+        return self.kind.order(self.order) if self.kind is not None and self.order is not None else []
+
     def finish(self, df: DataFrame, parts: int) -> DataFrame:
-        """Reduce or keep the first of equal keys, and route; sorting is left to the reader that shows it."""
-        extra = [c for c in ("p",) if c in df.columns]
-        if self.kind is not None and self.order is not None and (self.reducer or self.first):
-            keys = [*extra, *self.kind.keys(self.order)]
-            rest = [c for c in self.kind.schema.names if c not in keys]
-            if self.first:
-                least = F.min(F.struct(*rest)).alias("_least") if rest else None
-                df = df.groupBy(*keys).agg(least).select(*keys, *[F.col(f"_least.{c}").alias(c) for c in rest]) if rest else df.select(*keys).distinct()
-            else:
-                combine = self.kind.reducers[self.reducer]
-                df = df.groupBy(*keys).agg(*[combine.get(c, F.min)(c).alias(c) for c in rest])
-            df = df.select(*extra, *self.kind.schema.names)
-        return df.withColumn("p", self.shuffle(parts)) if self.shuffle else df
+        """Route, then combine what each producer partition sends to each bucket; a reader combines over producers."""
+        return self.combine(self.route(df, parts), "made_in")
 
 
 @dataclass
@@ -71,6 +107,8 @@ class Input:
     expect: str | None = None
     limit: int | None = None
     limit_by: list[str] | None = None
+    reducer: str | None = None
+    order: str | None = None
     files: Callable | None = None
     paths: list[str] = field(default_factory=list)
     previous: bool = False
@@ -139,23 +177,27 @@ class Task:
         self.inputs[name] = Input(name, [(source, port)], edge, previous=True, **more)
         return self
 
-    def output(self, name: str, kind: str | None = None, *, shuffle: str | Callable | None = None, order: str | None = None, reducer: str | None = None, first: bool = False, keep: bool = False, internal: bool = False, render=None) -> Task:
+    def output(self, name: str, kind: str | None = None, *, shuffle: str | Callable | None = None, order: str | None = None, reducer: str | None = None, first: bool = False, keep: bool = False, internal: bool = False, render=None, format: str = "parquet", compression: str | None = None) -> Task:
+        """A port. shuffle: a partitioner's name, "round_robin" or a function of the bucket count; format: one of FORMATS."""
         if name in self.outputs:
             raise GraphError(f"{self.name} has an output {name} already")
         if kind and kind not in self.graph.types:
             raise GraphError(f"{self.name}.{name}: unknown record type {kind}")
         record = self.graph.types[kind] if kind else None
-        if record is None and (order or reducer or first or isinstance(shuffle, str)):
+        if record is None and (order or reducer or first or (isinstance(shuffle, str) and shuffle != "round_robin")):
             raise GraphError(f"{self.name}.{name}: named partitioners, orderings and reducers belong to record types")
-        for what, known in ((order, record and record.orderings), (reducer, record and record.reducers), (shuffle if isinstance(shuffle, str) else None, record and record.partitioners)):
+        for what, known in ((order, record and record.orderings), (reducer, record and record.reducers), (shuffle if isinstance(shuffle, str) and shuffle != "round_robin" else None, record and record.partitioners)):
             if what and what not in known:
                 raise GraphError(f"{self.name}.{name}: {kind} has no {what}; it has {', '.join(sorted(known)) or 'none'}")
         if (reducer or first) and not order:
             raise GraphError(f"{self.name}.{name}: records are combined by an ordering's keys; name one")
         if internal and shuffle:
             raise GraphError(f"{self.name}.{name}: an internal output can't be shuffled")
-        part = record.partitioners[shuffle] if isinstance(shuffle, str) else shuffle
-        self.outputs[name] = Output(name, record, part, order, reducer, first, keep, internal, render)
+        if format not in FORMATS:
+            raise GraphError(f"{self.name}.{name}: {format} is none of {', '.join(FORMATS)}")
+        named = isinstance(shuffle, str) and shuffle != "round_robin"
+        part = record.partitioners[shuffle] if named else shuffle
+        self.outputs[name] = Output(name, record, part, order, reducer, first, keep, internal, render, compression, format)
         return self
 
     def depends(self, *names: str, partial: bool = False) -> Task:
@@ -276,6 +318,17 @@ class Pipeline:
         self.exposed[port] = (f"{self.name}.{task}", output)
         return self
 
+    def expose_input(self, port: str, nested: Pipeline, nested_port: str) -> Pipeline:
+        """Hand what is bound to this pipeline's port on to a nested one's."""
+        if port in self.bound:
+            nested.bound[nested_port] = self.bound[port]
+        return self
+
+    def bind_output(self, port: str, outer: Pipeline, outer_port: str) -> Pipeline:
+        """Show this pipeline's port as the outer one's."""
+        outer.exposed[outer_port] = self.source(port)
+        return self
+
     def expose_nested(self, port: str, nested: Pipeline, nested_port: str) -> Pipeline:
         self.exposed[port] = nested.source(nested_port)
         return self
@@ -285,10 +338,16 @@ class Pipeline:
             raise GraphError(f"pipeline {self.name} exposes no {port}")
         return self.exposed[port]
 
-    def connect(self, task: Task, name: str, port: str, edge: Edge = Edge.ALL_TO_ALL, optional: bool = False, **more) -> bool:
-        """Give one of the pipeline's tasks a bound port as its input; false if it is optional and unbound."""
+    def connect(self, task: Task, name: str, port: str, edge: Edge = Edge.ALL_TO_ALL, optional: bool = False, empty: str | None = None, **more) -> bool:
+        """Give one of the pipeline's tasks a bound port as its input; false if it is optional and unbound.
+
+        empty: a record type; an unbound port then is an input of that type without rows.
+        """
         if port not in self.bound:
-            if optional:
+            if empty is not None:
+                schema = self.graph.types[empty].schema
+                task.input_files(name, lambda spark: spark.createDataFrame([], schema), expect=empty)
+            if optional or empty is not None:
                 return False
             raise GraphError(f"pipeline {self.name}: nothing is bound to {port}")
         source, output = self.bound[port]
@@ -339,7 +398,7 @@ class Engine:
     def read(self, task: Task, port: Input, made: dict, alive: dict) -> DataFrame:
         """The rows that a port's edge brings to a task."""
         if port.files:
-            return port.files(self.spark)
+            return self.shown(port.files(self.spark), port, None)
         sides = []
         for source, name in port.sources:
             if port.previous:
@@ -348,6 +407,8 @@ class Engine:
                 df = self.store.previous(source, name, self.graph.tasks[source].outputs[name].kind if source in self.graph.tasks else None)
             else:
                 df = made[source, name]
+            made_by = self.graph.tasks[source].outputs[name] if source in self.graph.tasks else None
+            df = df.drop("made_in")
             if "p" in df.columns:
                 if port.edge is Edge.FIRST:
                     df = df.where(F.col("p") == 0).drop("p")
@@ -355,16 +416,36 @@ class Engine:
                     df = df.drop("p")
                 else:
                     df = df.where(F.col("p").isin(sorted(alive[task.name])))
+            if made_by is not None and made_by.combines and (port.edge in (Edge.SHUFFLE, Edge.ALL_TO_ALL) or len(port.sources) > 1):
+                df = made_by.combine(df)
             sides.append(df)
         df = sides[0]
         for other in sides[1:]:
             df = df.unionByName(other)
+        first = self.graph.tasks[port.sources[0][0]].outputs[port.sources[0][1]] if port.sources[0][0] in self.graph.tasks else None
+        if len(sides) > 1 and first is not None:
+            df = first.combine(df)
+        return self.shown(df, port, first)
+
+    def shown(self, df: DataFrame, port: Input, made_by: Output | None) -> DataFrame:
+        """What a port does at reading: combine by its own reducer, then the first records of each partition by its or its source's order."""
+        kind = made_by.kind if made_by is not None else self.graph.types[port.expect] if port.expect else None
+        if port.reducer:
+            if kind is None or not port.order:
+                raise GraphError(f"{port.name}: a reducer at reading needs a record type and an ordering")
+            df = Output(port.name, kind, order=port.order, reducer=port.reducer).combine(df)
         if port.limit is not None:
             from weirflow.operators.relational import limit_per_partition
 
             part = F.col("p") if "p" in df.columns else F.lit(0)
-            order = [F.col(c) for c in port.limit_by or [c for c in df.columns if c != "p"]]
-            limited = limit_per_partition(df, part, order, port.limit)
+            if port.limit_by:
+                order = [F.col(c) for c in port.limit_by]
+            elif kind is not None and port.order:
+                order = kind.order(port.order)
+            else:
+                order = made_by.columns() if made_by is not None else []
+            rest = [F.col(c) for c in df.columns if c != "p"]
+            limited = limit_per_partition(df, part, [*order, *rest], port.limit)
             df = limited if "p" in df.columns else limited.drop("p")
         return df
 
@@ -405,7 +486,7 @@ class Engine:
                     raise GraphError(f"{task.name}.{name} is a {port.kind.name} without {', '.join(missing)}")
                 df = df.select(*extra, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in port.kind.schema])
             there = self.exists(task, name, alive[task.name])
-            if "p" in df.columns and len(there) < self.partitions:
+            if task.partitioned and "p" in df.columns and len(there) < self.partitions:
                 df = df.where(F.col("p").isin(sorted(there)))
             out[task.name, name] = port.finish(df, self.partitions)
         return out

@@ -18,9 +18,11 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weirflow.functions.records import RecordType
-from weirflow.plans.graph import Engine, GraphError, Task
+from weirflow.plans.graph import Engine, GraphError, Output, Task
 
 
 class Files:
@@ -58,6 +60,13 @@ class Files:
         if not fs.rename(beside, at):
             raise OSError(f"can't rename {beside} to {at}")
 
+    def replace(self, new: str, path: str) -> None:
+        """Put a finished folder in the place of another."""
+        fs, at = self._at(path)
+        fs.delete(at, True)
+        if not fs.rename(self.jvm.org.apache.hadoop.fs.Path(new), at):
+            raise OSError(f"can't rename {new} to {at}")
+
     def delete(self, path: str) -> None:
         fs, at = self._at(path)
         fs.delete(at, True)
@@ -112,11 +121,40 @@ class Workspace:
     def stored(self, task: str, output: str) -> bool:
         return self.files.exists(f"{self.path(task, output)}/_SUCCESS")
 
-    def load(self, task: str, output: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(task, output))
-
-    def save(self, task: str, output: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self.path(task, output))
+    def load(self, task: str, output: str, run: int | None = None) -> DataFrame:
+        """An output as it is stored; `made_in`, where a row has it, is the partition that made it."""
+        at = self.path(task, output, run)
+        beside = f"{at}.schema.json"
+        if not self.files.exists(beside):
+            return self.spark.read.parquet(at)
+        known = json.loads(self.files.read(beside))
+        reader = self.spark.read.format(known["format"]).schema(StructType.fromJson(known["schema"]))
+        return (reader.option("header", True) if known["format"] == "csv" else reader).load(at)
+
+    def save(self, task: str, output: str, df: DataFrame, port: Output | None = None, parts: set[int] | None = None) -> None:
+        """Store an output, ordered within its partitions where its port has an ordering, in the port's format.
+
+        parts: only what these partitions made is new; what others made stays.
+        """
+        by = port.columns() if port is not None else []
+        at = self.path(task, output)
+        maker = "made_in" if "made_in" in df.columns else "p" if "p" in df.columns else None
+        if parts is not None and maker is not None and self.stored(task, output):
+            df = df.unionByName(self.load(task, output).where(~F.col(maker).isin(sorted(parts))).select(*df.columns))
+        if by:
+            df = df.orderBy(*(["p"] if "p" in df.columns else []), *by)
+        kind = port.format if port is not None else "parquet"
+        writer = df.write.mode("overwrite").format(kind)
+        if port is not None and port.compression:
+            writer = writer.option("compression", port.compression)
+        writer = writer.option("header", True) if kind == "csv" else writer
+        new = f"{at}.new"
+        writer.save(new)
+        if kind == "parquet":
+            self.files.delete(f"{at}.schema.json")
+        else:
+            self.files.write(f"{at}.schema.json", json.dumps({"format": kind, "schema": df.schema.jsonValue()}))
+        self.files.replace(new, at)
 
     def ack(self, task: str) -> dict | None:
         at = f"{self.folder()}/{task}/ack.json"
@@ -131,7 +169,7 @@ class Workspace:
             raise GraphError("previous runs need numbered runs")
         at = self.path(task, output, self.run - 1)
         if self.run > 0 and self.files.exists(f"{at}/_SUCCESS"):
-            return self.spark.read.parquet(at)
+            return self.load(task, output, self.run - 1)
         if kind is None:
             raise GraphError(f"{task}.{output} has no type and no earlier run, so its columns aren't known")
         return self.spark.createDataFrame([], kind.schema)
@@ -173,14 +211,14 @@ class Runner:
     def stale(self, selected: set[str] | None = None, force: bool = False) -> set[str]:
         """Names of the tasks that have to run."""
         graph, ws = self.engine.graph, self.workspace
-        tasks, acks = graph.order(), {}
+        tasks, acks, alive = graph.order(), {}, self.engine.alive()
         for task in tasks:
             acks[task.name] = ws.ack(task.name)
         out: set[str] = set()
 
         def must(task: Task) -> bool:
             ack = acks[task.name]
-            if ack is None or task.everytime or (force and (selected is None or task.name in selected)):
+            if ack is None or not set(alive[task.name]) <= set(ack.get("parts", ack.get("alive", []))) or task.everytime or (force and (selected is None or task.name in selected)):
                 return True
             parents = graph.parents(task)
             if any(p in out or (acks[p] or {}).get("at", 0) > ack["at"] for p in parents):
@@ -199,33 +237,50 @@ class Runner:
                 break
         return out if selected is None else out & selected
 
-    def run(self, selected: set[str] | None = None, force: bool = False) -> list[str]:
-        """Run what has to; the names of the tasks that ran, in order. A failing body ends the run, and what ran before stays acknowledged."""
+    def run(self, selected: set[str] | dict[str, set[int]] | None = None, force: bool = False) -> list[str]:
+        """Run what has to; the names of the tasks that ran, in order. A failing body ends the run, and what ran before stays acknowledged.
+
+        selected: only these tasks, or of each only some partitions: what its other partitions made before
+        stays, and the task counts as done once all of them ran after the last change.
+        """
         graph, ws = self.engine.graph, self.workspace
         graph.validate()
         for name in selected or ():
             if name not in graph.tasks:
                 raise GraphError(f"{name} is no task")
-        alive, due, ran = self.engine.alive(), self.stale(selected, force), []
+        alive, due, ran = self.engine.alive(), self.stale(set(selected) if selected is not None else None, force), []
         made = _Made(ws)
         for task in graph.order():
             if task.name not in due:
                 continue
             began = time.time()
-            found = self.engine.plan_task(task, made, alive)
+            chosen = frozenset(selected[task.name]) & alive[task.name] if isinstance(selected, dict) else alive[task.name]
+            found = self.engine.plan_task(task, made, alive | {task.name: chosen})
+            some = set(chosen) if chosen != alive[task.name] else None
             for (name, output), df in found.items():
                 if not task.outputs[output].internal:
-                    ws.save(name, output, df)
+                    ws.save(name, output, df, task.outputs[output], some)
             skipped = {o: sorted(alive[task.name] - self.engine.exists(task, o, alive[task.name])) for o in task.outputs}
             now = int(time.time() * 1000)
             latest = max([(ws.ack(p) or {}).get("at", 0) for p in graph.parents(task)], default=0)
-            ws.acknowledge(task.name, at=max(now, latest), ms=int((time.time() - began) * 1000), alive=sorted(alive[task.name]), skipped=skipped)
+            before = ws.ack(task.name) or {}
+            # What other partitions made before counts on only where nothing that the task reads has changed since.
+            current = not self.changed(task, before) if before else False
+            done = set(chosen) | (set(before.get("parts", before.get("alive", []))) if some is not None and current else set())
+            what = {"alive": sorted(alive[task.name]), "parts": sorted(done), "skipped": skipped}
+            ws.acknowledge(task.name, at=max(now, latest), ms=int((time.time() - began) * 1000), **what)
             self.log.append({"task": task.name, "ms": int((time.time() - began) * 1000)})
             ran.append(task.name)
             if not self.keep and selected is None:
                 self.clean(due - set(ran))
         return ran
 
+    def changed(self, task: Task, ack: dict) -> bool:
+        """Whether something a task reads is newer than its acknowledgement."""
+        ws = self.workspace
+        newer = any((ws.ack(p) or {}).get("at", 0) > ack["at"] for p in self.engine.graph.parents(task))
+        return newer or any(ws.files.changed(path) > ack["at"] for port in task.inputs.values() for path in port.paths)
+
     def clean(self, waiting: set[str] = frozenset()) -> list[str]:
         """Remove outputs that some task reads, that aren't kept, and that no waiting task reads."""
         graph, ws, gone = self.engine.graph, self.workspace, []
