@@ -31,6 +31,14 @@ def adjacency(sessions: DataFrame, key: str, element: str) -> DataFrame:
     return sessions.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_list(element)).alias("elements"))
 
 
+def places(sessions: DataFrame, key: str, element: str) -> DataFrame:
+    """(id, n, pos, element): the adjacency as rows, so that no list of a hot key is ever made."""
+    counts = sessions.groupBy(F.col(key).alias("_key")).agg(F.count("*").cast("int").alias("n"))
+    pos = (F.row_number().over(Window.partitionBy(key).orderBy(element)) - 1).alias("pos")
+    rows = sessions.select(F.col(key).alias("id"), pos, F.col(element).alias("element"))
+    return rows.join(counts, F.col("id") == F.col("_key")).select("id", "n", "pos", "element")
+
+
 def complements(sessions: DataFrame, least: int = 3, cosine: float = 0.01) -> DataFrame:
     """(a, b, w, aw, bw): pairs with an overlap of at least `least` and the cosine of their user sets."""
     counts = item_counts(sessions)

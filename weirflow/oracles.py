@@ -33,6 +33,13 @@ def _h(column: str) -> str:
     return _HASH.format(column, PARTS)
 
 
+def _wide(column: str) -> str:
+    """The whole 64-bit hash: folded in 128 bits, cut to 64 after every byte."""
+    byte = f"CAST(('0x' || substr(hex(encode({column})), CAST(2 * i - 1 AS BIGINT), 2)) AS HUGEINT)"
+    each = f"list_transform(range(1, 1 + CAST(octet_length(encode({column})) AS BIGINT)), lambda i: {byte})"
+    return f"list_reduce(list_prepend(CAST(0 AS HUGEINT), {each}), lambda h, d: (h * 131 + d) % 18446744073709551616::HUGEINT)"
+
+
 ORACLES: dict[str, str] = {
     "scan_parquet": "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS total FROM orders WHERE o_orderstatus = 'F'",
     "identity_copy": "SELECT * FROM nation",
@@ -91,4 +98,12 @@ FROM pai JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b""",
     "branch_union": "SELECT * FROM (VALUES (0, 'Convergence Reached: [EVEN] partition 0 goes even'), (1, 'Convergence Reached: [ODD]  partition 1 goes odd'), (2, 'Convergence Reached: [EVEN] partition 2 goes even'), (2, 'Convergence Reached: [ODD]  partition 2 goes odd')) AS t(p, str)",
     "branch_starved": "SELECT 3 AS p",
     "prev_run_delta": f"WITH {_SESSIONS} SELECT a, b FROM ses EXCEPT SELECT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'",
+    "hash131_five": f"SELECT p_partkey, CAST({_wide('p_name')} % 5 AS INTEGER) AS p FROM part",
+    "round_robin_balance": f"SELECT CAST(p AS INTEGER) AS p, CAST((SELECT count(*) FROM events) // {PARTS} + CASE WHEN p < (SELECT count(*) FROM events) % {PARTS} THEN 1 ELSE 0 END AS BIGINT) AS n FROM range({PARTS}) r(p)",
+    "word_count_graph": f"WITH {_WORDS} SELECT word, CAST(count(*) AS DOUBLE) AS w, CAST({_h('word')} AS INTEGER) AS p FROM wor GROUP BY word",
+    "dedup_graph": f"WITH {_SESSIONS} SELECT a, b, CAST(a % {PARTS} AS INTEGER) AS p FROM ses",
+    "union_reduce_graph": f"SELECT str, w, CAST({_h('str')} AS INTEGER) AS p FROM (SELECT 'nation ' || k AS str, CAST(count(*) AS DOUBLE) AS w FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k)",
+    "sort_violations_planted": f"SELECT CAST(o_custkey % {PARTS} AS INTEGER) AS p, count(*) AS violations FROM (SELECT o_custkey, o_totalprice AS x, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS y FROM orders) WHERE y > x GROUP BY 1",
+    "branch_by_table": f"SELECT CAST(p AS INTEGER) AS p, way, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM (SELECT o_orderkey % {PARTS} AS p, o_orderkey FROM orders) JOIN (VALUES (0, 'even'), (2, 'even'), (1, 'odd'), (2, 'odd')) AS v(q, way) ON p = q GROUP BY 1, 2",
+    "prev_run_sessions": f"WITH {_SESSIONS} SELECT a, b FROM ses EXCEPT SELECT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'",
 }

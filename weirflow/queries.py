@@ -5,15 +5,20 @@ Sessions are the distinct (customer, part) pairs of all orders; parts are the di
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weirflow.functions.records import registry
 from weirflow.functions.text import id_bucket, poly_bucket, tokens
 from weirflow.operators import recommend as rec
 from weirflow.operators import relational as rel
+from weirflow.plans.graph import Edge, Engine, Graph
+from weirflow.plans.runs import Runner, Workspace
 
 PARTS = 4
 #: Thresholds of reciprocal neighbours that these tables' baskets can meet.
@@ -166,10 +171,8 @@ def sort_desc(spark, sf_dir):
 @query
 def sort_within_partition(spark, sf_dir):
     """Each session's place in its partition by (a, b)."""
-    from pyspark.sql.window import Window
-
     df = sessions(spark, sf_dir).withColumn("p", id_bucket(F.col("a"), PARTS))
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy("a", "b")) - 1)
+    return rel.numbered(df, ["p"], ["a", "b"]).withColumn("place", F.col("place").cast("int"))
 
 
 @query
@@ -254,14 +257,12 @@ def encode_items(spark, sf_dir):
 
 @query
 def item_to_users(spark, sf_dir):
-    lists = rec.adjacency(sessions(spark, sf_dir), "b", "a")
-    return lists.select("id", F.size("elements").alias("n"), F.posexplode("elements").alias("pos", "element"))
+    return rec.places(sessions(spark, sf_dir), "b", "a")
 
 
 @query
 def user_to_items(spark, sf_dir):
-    lists = rec.adjacency(sessions(spark, sf_dir), "a", "b")
-    return lists.select("id", F.size("elements").alias("n"), F.posexplode("elements").alias("pos", "element"))
+    return rec.places(sessions(spark, sf_dir), "a", "b")
 
 
 # Joins
@@ -341,8 +342,9 @@ def tfidf_norm(spark, sf_dir):
 @query
 def feature_lists(spark, sf_dir):
     """Items under each feature, exploded in order, with their float weights."""
-    lists = vectors(spark, sf_dir).groupBy(F.col("b").alias("feature")).agg(F.sort_array(F.collect_list(F.struct(F.col("a").alias("id"), F.col("w").cast("float").alias("w")))).alias("items"))
-    return lists.select("feature", F.posexplode("items").alias("pos", "item")).select("feature", "pos", "item.id", F.round(F.col("item.w").cast("double"), 5).alias("w"))
+    rows = vectors(spark, sf_dir).select(F.col("b").alias("feature"), F.col("a").alias("id"), F.col("w").cast("float").alias("w"))
+    pos = (F.row_number().over(Window.partitionBy("feature").orderBy("id")) - 1).alias("pos")
+    return rows.select("feature", pos, "id", F.round(F.col("w").cast("double"), 5).alias("w"))
 
 
 @query
@@ -414,3 +416,117 @@ def prev_run_delta(spark, sf_dir):
     both = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     before = both.where("o_orderdate < timestamp '1997-01-01 00:00:00'").select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("b"))
     return sessions(spark, sf_dir).join(before, ["a", "b"], "left_anti")
+
+
+# The engine itself, over several partitions
+
+
+@query
+def hash131_five(spark, sf_dir):
+    """String hash over five buckets: the 64-bit value wraps before the modulus."""
+    return titles(spark, sf_dir).select("p_partkey", poly_bucket(F.col("p_name"), 5).alias("p"))
+
+
+@query
+def round_robin_balance(spark, sf_dir):
+    """Rows of each partition of a round-robin port: at most one apart."""
+    graph = Graph()
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("val"))
+    graph.task("make", lambda ctx: {"n": rows}).output("n", "UInt32", shuffle="round_robin")
+    graph.task("read").input("n", "make", Edge.SHUFFLE).output("out")
+    made = Engine(spark, graph, PARTS).plan()["read", "out"]
+    return made.groupBy("p").agg(F.count("*").alias("n"))
+
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over producer partitions that have nothing to do with their keys."""
+    return df.withColumn("p", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int"))
+
+
+@query
+def word_count_graph(spark, sf_dir):
+    """Words made in every partition, dealt by hash and summed over all producers at the reader."""
+    graph = Graph()
+    split = F.explode(tokens(F.col("text"))).alias("str")
+    rows = _spread(table(spark, sf_dir, "documents"), "doc_id").select("p", F.lit(1.0).alias("w"), split)
+    graph.task("split", lambda ctx: {"w": rows}).output("w", "StringWeight", shuffle="Hash_Str", order="Sort_Str", reducer="Sum_W")
+    graph.task("count").input("w", "split", Edge.SHUFFLE).output("out", "StringWeight", order="Sort_W_Desc")
+    return Engine(spark, graph, PARTS).plan()["count", "out"].select(F.col("str").alias("word"), "w", "p")
+
+
+@query
+def dedup_graph(spark, sf_dir):
+    """Sessions of every line item, of which each producer and then each reader keeps the first."""
+    graph = Graph()
+    rows = _spread(baskets(spark, sf_dir).withColumn("x", F.rand(7)), "x").drop("x")
+    graph.task("load", lambda ctx: {"s": rows}).output("s", "UInt32Pair", shuffle="Hash_A", order="Sort_A_B", first=True)
+    graph.task("read").input("s", "load", Edge.SHUFFLE).output("out", "UInt32Pair")
+    return Engine(spark, graph, PARTS).plan()["read", "out"].select("a", "b", "p")
+
+
+@query
+def union_reduce_graph(spark, sf_dir):
+    """Two tasks' weighted words, united at a shuffled input and summed over both."""
+    graph = Graph()
+    for name in ("customer", "supplier"):
+        key = F.concat(F.lit("nation "), F.col(f"{name[0]}_nationkey"))
+        rows = _spread(table(spark, sf_dir, name), f"{name[0]}_{name[:4]}key").select("p", F.lit(1.0).alias("w"), key.alias("str"))
+        graph.task(name, lambda ctx, rows=rows: {"w": rows}).output("w", "StringWeight", shuffle="Hash_Str", order="Sort_Str", reducer="Sum_W")
+    graph.task("sum").input("w", "customer|supplier", Edge.SHUFFLE).output("out", "StringWeight")
+    return Engine(spark, graph, PARTS).plan()["sum", "out"].select("str", "w", "p")
+
+
+@query
+def sort_violations_planted(spark, sf_dir):
+    """Customers whose latest order isn't their dearest: rows out of order, counted in a table that holds some."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    before = F.lag("price").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    df = df.withColumn("before", before).where(F.col("before") > F.col("price"))
+    return df.groupBy(id_bucket(F.col("o_custkey"), PARTS).alias("p")).agg(F.count("*").alias("violations"))
+
+
+@query
+def branch_by_table(spark, sf_dir):
+    """Branches over data: orders go to one of two tasks by partition, the third partition to both, the fourth to none."""
+    graph = Graph()
+    rows = table(spark, sf_dir, "orders").select(id_bucket(F.col("o_orderkey"), PARTS).alias("p"), F.col("o_orderkey").cast("long").alias("val"))
+    route = graph.task("route", lambda ctx: {"even": rows, "odd": rows}).output("even", "UInt32").output("odd", "UInt32")
+    route.skip("even", lambda p, _: p in (1, 3)).skip("odd", lambda p, _: p in (0, 3))
+    for way in ("even", "odd"):
+        body = lambda ctx, way=way: {"done": ctx.inputs[way].withColumn("way", F.lit(way))}
+        graph.task(way, body).input(way, "route", Edge.PARTITION).output("done")
+    graph.task("end").input("done", "even|odd", Edge.PARTITION).output("out")
+    made = Engine(spark, graph, PARTS).plan()["end", "out"]
+    return made.groupBy("p", "way").agg(F.count("*").alias("n"), F.sum("val").alias("total"))
+
+
+@query
+def prev_run_sessions(spark, sf_dir):
+    """Two runs of a workspace: the second reads the sessions that the first left and keeps what is new."""
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = both.select(F.col("o_custkey").cast("long").alias("a"), F.col("l_partkey").cast("long").alias("b"), "o_orderdate").withColumn("p", id_bucket(F.col("a"), PARTS))
+    until = {"0": "1997-01-01", "1": "2100-01-01"}
+
+    def load(ctx):
+        run = ctx.engine.store.run
+        new = rows.where(F.col("o_orderdate") < F.lit(until[str(run)]).cast("timestamp")).select("p", "a", "b")
+        return {"all": new, "fresh": new.join(ctx.inputs["before"].select("a", "b"), ["a", "b"], "left_anti")}
+
+    graph = Graph()
+    task = graph.task("load", load).input_previous("before", "load", "all")
+    for name in ("all", "fresh"):
+        task.output(name, "UInt32Pair", order="Sort_A_B", first=True, keep=True)
+    root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for _ in until:
+        ws = Workspace.next_run(spark, root)
+        Runner(Engine(spark, graph, PARTS), ws).run()
+    return ws.load("load", "fresh").select("a", "b")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where workspaces of queries lie: the cluster's checkpoint folder, or in local mode a temporary one."""
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not at and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return at or tempfile.mkdtemp(prefix="weirflow-")
