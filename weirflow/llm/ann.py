@@ -25,13 +25,13 @@ from pyspark.sql.window import Window
 
 from weirflow.llm.common import saved, ship
 
-BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 16, 256, 20_000, 8, 8
+BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 24, 256, 20_000, 8, 8
 BLOCK, QUERIES, TOP = 1 << 16, 2048, 20
 
 
 def reranked(rows: int, top: int = TOP) -> int:
-    """Candidates computed exactly for each query: 60 of 2,000 rows, and more as the rows to the power 0.6."""
-    return max(3 * top, int(np.ceil(60 * (rows / 2000) ** 0.6)))
+    """Candidates computed exactly for each query: 60 of 2,000 rows, and more as the cube root of the rows."""
+    return max(3 * top, int(np.ceil(60 * (rows / 2000) ** (1 / 3))))
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
