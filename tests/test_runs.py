@@ -213,3 +213,23 @@ def test_outputs_are_stored_in_order_and_format(spark, tmp_path, format):
     assert [f"{r.w}\t{r.str}" for r in ws.load("make", "out").coalesce(1).collect()] == want
     assert sorted(r.str for r in ws.load("few", "out").collect()) == ["b", "e"]
     assert [r.line for r in inspect.sample(engine, ws, "make", "out", 1, 2)[1].orderBy("p").collect()] == ["3.0\tb", "5.0\te"]
+
+
+def test_opaque_outputs_are_handed_on(spark, tmp_path):
+    """A task writes a file of its own and hands on its path; the reader, in a later run too, gets that path."""
+    at, seen = str(tmp_path / "own.txt"), []
+
+    def write(ctx):
+        with open(at, "w") as f:
+            f.write("own bytes")
+        return {"where": at}
+
+    graph = Graph()
+    graph.task("write", write, partitioned=False).output("where", opaque=True, keep=True)
+    graph.task("read", lambda ctx: seen.append(open(ctx.inputs["x"]).read()) or {}, partitioned=False).input("x", "write", Edge.PARTITION, "where")
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    assert Runner(Engine(spark, graph, 2), ws).run() == ["write", "read"]
+    assert Runner(Engine(spark, graph, 2), ws).run({"read"}, force=True) == ["read"]
+    assert seen == ["own bytes", "own bytes"]
+    with pytest.raises(GraphError):
+        Graph().task("a").output("x", "UInt32", opaque=True)

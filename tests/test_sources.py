@@ -45,3 +45,25 @@ def test_tables(spark, tmp_path, kind):
     df = spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string")
     files.write_table(df, str(tmp_path / kind), kind, ["b"])
     assert {(r.a, r.b) for r in files.table(spark, str(tmp_path / kind), kind).collect()} == {(1, "x"), (2, "y")}
+
+
+def test_lines_bear_the_tag_of_their_file(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.json").write_text('{"a": "' + name + '"}\nbroken\n')
+    from weirflow.sources.files import json_lines, text_lines
+
+    rows = json_lines(text_lines(spark, str(tmp_path), tagged=True), "a string").collect()
+    assert sorted((r.a, r.tag.rsplit("/", 1)[1]) for r in rows) == [("one", "one.json"), ("two", "two.json")]
+
+
+def test_a_callback_for_each_group(spark):
+    import pyarrow as pa
+
+    from weirflow.operators.relational import group_transform
+
+    def longest(key, rows):
+        return pa.table({"k": [key[0]], "all": ["".join(rows.column("x").to_pylist())]})
+
+    df = spark.createDataFrame([(1, "b"), (2, "z"), (1, "c"), (1, "a")], "k long, x string")
+    found = group_transform(df, ["k"], ["x-"], longest, "k long, all string").collect()
+    assert sorted((r.k, r["all"]) for r in found) == [(1, "cba"), (2, "z")]

@@ -96,7 +96,7 @@ def main(build: Callable[[dict], Graph], spark: SparkSession, argv: list[str] |
                 if chosen is not None and task.name not in chosen:
                     continue
                 for output, port in task.outputs.items():
-                    if port.internal or (wanted is not None and output not in wanted) or not workspace.stored(task.name, output):
+                    if port.internal or port.opaque or (wanted is not None and output not in wanted) or not workspace.stored(task.name, output):
                         continue
                     if a.sample:
                         records, _, parts = a.sample.partition(":")

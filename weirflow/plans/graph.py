@@ -56,6 +56,7 @@ class Output:
 
     compression: str | None = None
     format: str = "parquet"
+    opaque: bool = False
 
     @property
     def combines(self) -> bool:
@@ -177,8 +178,8 @@ class Task:
         self.inputs[name] = Input(name, [(source, port)], edge, previous=True, **more)
         return self
 
-    def output(self, name: str, kind: str | None = None, *, shuffle: str | Callable | None = None, order: str | None = None, reducer: str | None = None, first: bool = False, keep: bool = False, internal: bool = False, render=None, format: str = "parquet", compression: str | None = None) -> Task:
-        """A port. shuffle: a partitioner's name, "round_robin" or a function of the bucket count; format: one of FORMATS."""
+    def output(self, name: str, kind: str | None = None, *, shuffle: str | Callable | None = None, order: str | None = None, reducer: str | None = None, first: bool = False, keep: bool = False, internal: bool = False, render=None, format: str = "parquet", compression: str | None = None, opaque: bool = False) -> Task:
+        """A port. opaque: the body hands on a text (a path it wrote itself, say) that readers get as it is. shuffle: a partitioner's name, "round_robin" or a function of the bucket count; format: one of FORMATS."""
         if name in self.outputs:
             raise GraphError(f"{self.name} has an output {name} already")
         if kind and kind not in self.graph.types:
@@ -189,6 +190,8 @@ class Task:
         for what, known in ((order, record and record.orderings), (reducer, record and record.reducers), (shuffle if isinstance(shuffle, str) and shuffle != "round_robin" else None, record and record.partitioners)):
             if what and what not in known:
                 raise GraphError(f"{self.name}.{name}: {kind} has no {what}; it has {', '.join(sorted(known)) or 'none'}")
+        if opaque and (kind or shuffle or order):
+            raise GraphError(f"{self.name}.{name}: an opaque output has no records to type, deal or sort")
         if (reducer or first) and not order:
             raise GraphError(f"{self.name}.{name}: records are combined by an ordering's keys; name one")
         if internal and shuffle:
@@ -197,7 +200,7 @@ class Task:
             raise GraphError(f"{self.name}.{name}: {format} is none of {', '.join(FORMATS)}")
         named = isinstance(shuffle, str) and shuffle != "round_robin"
         part = record.partitioners[shuffle] if named else shuffle
-        self.outputs[name] = Output(name, record, part, order, reducer, first, keep, internal, render, compression, format)
+        self.outputs[name] = Output(name, record, part, order, reducer, first, keep, internal, render, compression, format, opaque)
         return self
 
     def depends(self, *names: str, partial: bool = False) -> Task:
@@ -399,6 +402,12 @@ class Engine:
         """The rows that a port's edge brings to a task."""
         if port.files:
             return self.shown(port.files(self.spark), port, None)
+        hidden = [self.graph.tasks[t].outputs[o].opaque for t, o in port.sources if t in self.graph.tasks]
+        if any(hidden):
+            if not all(hidden) or port.previous:
+                raise GraphError(f"{task.name}.{port.name}: opaque outputs don't unite with others and have no previous run")
+            found = [made[x] for x in port.sources]
+            return found[0] if len(found) == 1 else found
         sides = []
         for source, name in port.sources:
             if port.previous:
@@ -479,6 +488,9 @@ class Engine:
             if name not in found:
                 raise GraphError(f"{task.name} made no {name}")
             df = found[name]
+            if port.opaque:
+                out[task.name, name] = df
+                continue
             if port.kind is not None:
                 extra = ["p"] if "p" in df.columns else []
                 missing = [c for c in port.kind.schema.names if c not in df.columns]

@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def text_lines(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
-    """(value): records between delimiters (default: lines)."""
+def text_lines(spark: SparkSession, path: str | list[str], delimiter: str | None = None, tagged: bool = False) -> DataFrame:
+    """(value): records between delimiters (default: lines). tagged: with the file each is from, as `tag`."""
     reader = spark.read if delimiter is None else spark.read.option("lineSep", delimiter)
-    return reader.text(path)
+    df = reader.text(path)
+    return df.select("value", F.col("_metadata.file_path").alias("tag")) if tagged else df
 
 
 def json_lines(lines: DataFrame, schema: T.StructType | str, required: list[str] | None = None, column: str = "value") -> DataFrame:
     """Fields of one JSON object a row; malformed rows and those without a required field (default: all) go.
 
-    Of a repeated key the last value counts; numbers become strings where the schema says so.
+    Of a repeated key the last value counts; numbers become strings where the schema says so. The tag of
+    tagged lines stays, after the fields.
     """
-    rows = lines.select(F.from_json(column, schema).alias("_r")).select("_r.*")
-    for name in rows.columns if required is None else required:
+    tag = ["tag"] if "tag" in lines.columns else []
+    rows = lines.select(F.from_json(column, schema).alias("_r"), *tag)
+    fields = rows.schema["_r"].dataType.names
+    rows = rows.select("_r.*", *[F.col(t).alias("_tag") for t in tag])
+    for name in fields if required is None else required:
         rows = rows.where(F.col(name).isNotNull())
-    return rows
+    return rows.withColumnRenamed("_tag", "tag")
 
 
 def fixed_records(spark: SparkSession, path: str, size: int) -> DataFrame:
