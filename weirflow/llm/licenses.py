@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import map_steps, texts_of, utf8
 
 THRESHOLD, LONG = 0.8, 16
-#: A-Z to a-z; other ASCII that isn't a letter or digit to a blank; newlines stay for the split into lines.
+#: A-Z to a-z; other ASCII that isn't a letter or digit, newlines too, to a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: (label, notice or grant text), the opening words of public licenses.
