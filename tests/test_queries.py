@@ -62,6 +62,18 @@ def test_toy_sessions(toy):
     assert {(r.a, r.b) for r in rec.complements(toy).collect()} == {("x", "y"), ("y", "x")}
 
 
+def test_hot_keys_meet_in_cells(spark):
+    """A key of a third of all rows and more, dealt to many cells, gives every pair of its rows once."""
+    rows = [("hot", i, i / 2) for i in range(40)] + [(f"u{i % 8}", i, float(i)) for i in range(50)] + [(None, 1, 1.0), (None, 2, 2.0), ("hot", None, 0.0)]
+    df = spark.createDataFrame(rows, "k string, x int, w double")
+    held = [r for r in rows if r[0] is not None and r[1] is not None]
+    want = sorted((x, y, v, w) for k, x, v in held for j, y, w in held if k == j and x < y)
+    for cell in (1, 7, 1000):
+        got = sorted((r.x, r.y, r.wx, r.wy) for r in rec.meeting(df, "k", "x", "w", cell).collect())
+        assert got == want
+    assert rec.meeting(df.where("false"), "k", "x").columns == ["x", "y"] and rec.meeting(df.where("false"), "k", "x").count() == 0
+
+
 def test_empty_sessions(spark):
     none = spark.createDataFrame([], "a long, b long")
     assert rec.complements(none).count() == 0

@@ -12,18 +12,42 @@ def item_counts(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("b").agg(F.count("*").alias("n"))
 
 
+#: Rows of a key that a cell of a self-join takes from either side, so that no task forms more than about CELL^2 pairs of one key.
+CELL = 2048
+
+
+def meeting(rows: DataFrame, key: str, item: str, weight: str | None = None, cell: int = CELL) -> DataFrame:
+    """(x, y and wx, wy where a weight is named): every two rows of a key, x < y.
+
+    The rows of a key that has more than `cell` are dealt by item to n parts on either side, and n x n cells join
+    each part with each; any two rows meet in one cell. How they are dealt decides balance, never results.
+    """
+    hot = rows.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count("*") / cell).cast("int").alias("_n")).where("_n > 1")
+    df = rows.join(hot, F.col(key) == F.col("_k"), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    part = F.pmod(F.xxhash64(item), F.col("_n")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    w = lambda name: [F.col(weight).alias(name)] if weight else []
+    left = df.select(F.col(key).alias("_u"), F.col(item).alias("x"), *w("wx"), part.alias("_i"), every.alias("_j"))
+    right = df.select(F.col(key).alias("_v"), F.col(item).alias("y"), *w("wy"), part.alias("_m"), every.alias("_l"))
+    same = (F.col("_u") == F.col("_v")) & (F.col("_i") == F.col("_l")) & (F.col("_j") == F.col("_m"))
+    return left.join(right, same & (F.col("x") < F.col("y"))).select("x", "y", *(["wx", "wy"] if weight else []))
+
+
+def mirrored(half: DataFrame) -> DataFrame:
+    """(a, b, w): pairs (x, y, w) in both directions."""
+    both = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    return half.select(both.alias("p"), "w").select("p.a", "p.b", "w")
+
+
 def cofrequency(sessions: DataFrame, least: int = 1) -> DataFrame:
     """(a, b, w): ordered pairs of different items with the number of users that have both.
 
     Half of the pairs are joined and counted; the other half mirrors them after the aggregation.
     """
-    left = sessions.select(F.col("a").alias("u"), F.col("b").alias("x"))
-    right = sessions.select(F.col("a").alias("v"), F.col("b").alias("y"))
-    half = left.join(right, (F.col("u") == F.col("v")) & (F.col("x") < F.col("y"))).groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
+    half = meeting(sessions, "a", "b").groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
     if least > 1:
         half = half.where(F.col("w") >= least)
-    both = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
-    return half.select(both.alias("p"), "w").select("p.a", "p.b", "w")
+    return mirrored(half)
 
 
 def adjacency(sessions: DataFrame, key: str, element: str) -> DataFrame:
@@ -66,11 +90,8 @@ def tfidf(pairs: DataFrame, counts: DataFrame, top: int = 50, least: int = 3) ->
 
 def substitutes(vectors: DataFrame, least: float = 0.05) -> DataFrame:
     """(a, b, w): ordered pairs whose vectors (as floats) have a dot product of at least `least`."""
-    left = vectors.select(F.col("a").alias("x"), F.col("b").alias("f"), F.col("w").cast("float").alias("wx"))
-    right = vectors.select(F.col("a").alias("y"), F.col("b").alias("g"), F.col("w").cast("float").alias("wy"))
-    half = left.join(right, (F.col("f") == F.col("g")) & (F.col("x") < F.col("y"))).groupBy("x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("w")).where(F.col("w") >= least)
-    both = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
-    return half.select(both.alias("p"), "w").select("p.a", "p.b", "w")
+    pairs = meeting(vectors.withColumn("w", F.col("w").cast("float")), "b", "a", "w")
+    return mirrored(pairs.groupBy("x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("w")).where(F.col("w") >= least))
 
 
 def with_counts(pairs: DataFrame, counts: DataFrame) -> DataFrame:
