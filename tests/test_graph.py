@@ -216,3 +216,27 @@ def test_inputs_handed_inwards_and_outputs_outwards(spark):
     name, port = outer.source("total")
     made = Engine(spark, graph, 4).plan()
     assert made[name, port].first()["count"] == 4 and made[name, "m"].count() == 0
+
+
+def test_tagged_inputs_tell_source_partitions(spark):
+    seen = {}
+
+    def look(ctx):
+        seen["all"] = sorted((r.source_p, r.a) for r in ctx.loaded("out").collect())
+        seen["one"] = sorted(r.a for r in ctx.loaded("out", 1).collect())
+        with pytest.raises(GraphError):
+            ctx.loaded("plain")
+        return {"n": ctx.inputs["out"].groupBy("source_p").count()}
+
+    def graph(**more):
+        graph = Graph()
+        graph.task("make", pairs(spark)).output("out", "StringPair")
+        graph.task("look", look).input("out", "make", tagged=True, **more).input("plain", "make", Edge.ALL_TO_ALL, "out").output("n")
+        return graph
+
+    made = Engine(spark, graph(), 4).plan()
+    assert seen == {"all": [(0, "x"), (1, "x"), (1, "y"), (3, "z")], "one": ["x", "y"]}
+    assert sorted(tuple(r) for r in made["look", "n"].collect()) == [(0, 1), (1, 2), (3, 1)]
+    for edge in (Edge.FIRST, Edge.PARTITION, Edge.SHUFFLE):
+        with pytest.raises(GraphError):
+            graph(edge=edge)

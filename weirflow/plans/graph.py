@@ -113,6 +113,7 @@ class Input:
     files: Callable | None = None
     paths: list[str] = field(default_factory=list)
     previous: bool = False
+    tagged: bool = False
 
 
 @dataclass
@@ -124,6 +125,13 @@ class Context:
     inputs: dict[str, DataFrame]
     alive: frozenset[int]
 
+    def loaded(self, name: str, partition: int | None = None) -> DataFrame:
+        """The rows of a tagged input, of all source partitions or of one."""
+        if not self.task.inputs[name].tagged:
+            raise GraphError(f"{self.task.name}.{name} isn't tagged")
+        df = self.inputs[name]
+        return df if partition is None else df.where(F.col("source_p") == partition)
+
     @property
     def spark(self):
         return self.engine.spark
@@ -155,11 +163,17 @@ class Task:
         self.skips: dict[str, Callable[[int, dict], bool]] = {}
 
     def input(self, name: str, source: str, edge: Edge = Edge.ALL_TO_ALL, port: str | None = None, **more) -> Task:
-        """Read `port` of the task `source`; "a|b" is the union of several tasks' ports."""
+        """Read `port` of the task `source`; "a|b" is the union of several tasks' ports.
+
+        tagged: rows of an all-to-all edge say in `source_p` which partition they are from (0 for ports without), and are
+        combined by partition only.
+        """
         if name in self.inputs:
             raise GraphError(f"{self.name} has an input {name} already")
         if not isinstance(edge, Edge):
             raise GraphError(f"{self.name}.{name}: an input has exactly one kind of edge, not {edge!r}")
+        if more.get("tagged") and (edge is not Edge.ALL_TO_ALL or more.get("reducer")):
+            raise GraphError(f"{self.name}.{name}: only an all-to-all edge without a reducer of its own can be tagged")
         ports = (port or name).split("|")
         names = source.split("|")
         ports = ports * len(names) if len(ports) == 1 else ports
@@ -418,7 +432,9 @@ class Engine:
                 df = made[source, name]
             made_by = self.graph.tasks[source].outputs[name] if source in self.graph.tasks else None
             df = df.drop("made_in")
-            if "p" in df.columns:
+            if port.tagged:
+                df = df if "p" in df.columns else df.withColumn("p", F.lit(0))
+            elif "p" in df.columns:
                 if port.edge is Edge.FIRST:
                     df = df.where(F.col("p") == 0).drop("p")
                 elif port.edge is Edge.ALL_TO_ALL:
@@ -434,6 +450,8 @@ class Engine:
         first = self.graph.tasks[port.sources[0][0]].outputs[port.sources[0][1]] if port.sources[0][0] in self.graph.tasks else None
         if len(sides) > 1 and first is not None:
             df = first.combine(df)
+        if port.tagged:
+            df = df.withColumnRenamed("p", "source_p")
         return self.shown(df, port, first)
 
     def shown(self, df: DataFrame, port: Input, made_by: Output | None) -> DataFrame:

@@ -282,6 +282,24 @@ def enrich_unknown(spark, sf_dir):
     return rel.enrich(rec.item_counts(sessions(spark, sf_dir)), names, "b", "p_partkey", "p_name", "title", F.lit("UNKNOWN"))
 
 
+@query
+def enrich_titles(spark, sf_dir):
+    """Titles for both items of a pair, from the whole dictionary."""
+    df = rel.enrich(popular_pairs(spark, sf_dir), titles(spark, sf_dir), "b", "p_partkey", "p_name", "b_title")
+    return rel.enrich(df, titles(spark, sf_dir), "a", "p_partkey", "p_name", "a_title")
+
+
+@query
+def loaded_partitions(spark, sf_dir):
+    """A table that every partition loads: its rows tell which partition they are from."""
+    graph = Graph()
+    rows = table(spark, sf_dir, "supplier").select(id_bucket(F.col("s_suppkey"), PARTS).alias("p"), F.col("s_suppkey").cast("long").alias("val"))
+    graph.task("load", lambda ctx: {"s": rows}).output("s", "UInt32")
+    body = lambda ctx: {"out": ctx.loaded("s").groupBy("source_p").agg(F.count("*").alias("n"), F.sum("val").alias("total"))}
+    graph.task("read", body).input("s", "load", tagged=True).output("out")
+    return Engine(spark, graph, PARTS).plan()["read", "out"]
+
+
 @query
 def master_dict(spark, sf_dir):
     """Item ids with their titles, from the id dictionary and the title dictionary."""
