@@ -56,6 +56,23 @@ def test_mix_of_nothing(none, docs):
     assert mixing.mix(docs, keep=("text", "size")).columns == ["doc_id", "source", "text", "size", "source_size", "target", "taken"]
 
 
+def test_ranges_and_blank_texts_do_not_change_the_mix(spark, monkeypatch):
+    """Many shards, one range or many, sources joined by broadcast or by shuffle: the same documents are taken."""
+    texts = ["", " \n", None] * 40 + [" ".join(["w"] * (1 + i % 9)) for i in range(400)]
+    rows = [(i if i % 50 else 7, t, None if i % 11 == 0 else f"s{i * i % 3}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    found = []
+    for bits, most in ((0, 100), (6, 100), (9, 0)):
+        monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        out = mixing.mix(df, keep=("text",))
+        assert len(out.collect()) == len(rows)
+        found.append(sorted(map(str, out.drop("text").collect())))
+    assert found[0] == found[1] == found[2]
+    assert all(r.taken == 0 for r in out.collect() if not (r.text or "").strip())
+
+
 def test_curve_is_hilbert(spark):
     cells = spark.range(1 << 15).selectExpr("cast(id % 32 as int) a", "cast(id div 32 % 32 as int) b", "cast(id div 1024 as int) c")
     at = {r.i: (r.a, r.b, r.c) for r in cells.withColumn("i", hilbert.curve_index("a", "b", "c")).collect()}

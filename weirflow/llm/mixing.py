@@ -21,8 +21,12 @@ from pyspark.sql.window import Window
 from weirflow.llm.common import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words in a shard, about: the unit that one task orders.
+#: Words in a shard, about.
 SHARD_WORDS = 1 << 22
+#: Bits of the seeded hash, and those of its first that cut a shard into ranges of about SHARD_WORDS / 2^RANGE_BITS words.
+HASH_BITS, RANGE_BITS = 60, 6
+#: Sources, and bytes of their names, up to which every task gets the table of sources.
+BROADCAST_SOURCES, BROADCAST_BYTES = 100_000, 8 << 20
 MOST_BLOCK, BLOCKS = 1024, 1000
 WEIGHTS, SHARE, REPEAT, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 
@@ -76,36 +80,58 @@ def apportion(df: DataFrame, within: list[str], names: list[str], votes: str, se
     return df.drop(*[f"_{k}" for k in keys], "_v", "_n", "_total", "_lo", "_hi", "_open", "_won")
 
 
+def broadcastable(by_source: DataFrame) -> bool:
+    """Whether a saved table of sources is counted small; beyond that it is joined by a shuffle."""
+    sizes = by_source.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("source").cast("string"))).alias("b")).first()
+    return sizes.n <= BROADCAST_SOURCES and (sizes.b or 0) <= BROADCAST_BYTES
+
+
 def mix(docs: DataFrame, keep: tuple = (), weights: tuple = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows of docs as (doc_id, source, *keep, size, source_size, target, taken)."""
     kept = [c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "taken")]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *kept, word_count(text_col).alias("size"), seeded(id_col, seed).alias("_h"))
-    narrow = rows.select("doc_id", "source", "size", "_h") if kept else (rows := saved(rows))
+    narrow = saved(rows.select("doc_id", "source", "size", "_h"))
+    rows = rows if kept else narrow
     by_source = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat)
     every = Window.partitionBy(F.lit(1))
     log2 = lambda x: F.length(F.bin(F.floor(x).cast("long"))) - 1
     least = F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every), F.lit(0.0))
     by_source = (
         by_source.withColumn("_one", F.lit(1))
+        .withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())))
         .withColumn("_block", F.least(F.lit(MOST_BLOCK), F.pow(F.lit(2), log2(least / BLOCKS)).cast("int")).cast("long"))
         .withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(every) / SHARD_WORDS)).cast("long"))
         .withColumn("_seats", F.floor(F.sum("target").over(every) / F.col("_block")).cast("long"))
     )
     by_source = saved(apportion(by_source, ["_one"], ["source"], "target", "_seats", "_quota"))
-    plan = by_source.select(F.col("source").alias("_src"), "source_size", "target", "_block", "_shards", "_quota")
-    same = F.col("source").eqNullSafe(F.col("_src"))
-    # A shard is a run of the seeded hash's last 20 bits, or of all its bits where there are more shards than those tell apart.
-    shard = (F.pmod("_h", F.greatest(F.lit(1 << 20).cast("long"), F.col("_shards"))) % F.col("_shards")).alias("_shard")
-    shards = narrow.join(plan, same).groupBy("_src", "source_size", "target", "_block", "_shards", "_quota", shard).agg(F.sum("size").alias("_words"))
-    shards = apportion(shards, ["_src"], ["_shard"], "_words", "_quota", "_blocks")
-    quotas = shards.select("_src", "_shard", "source_size", "target", "_words", F.least(F.col("_blocks") * F.col("_block"), repeat * F.col("_words")).alias("_take"))
-    # The number of shards rides along from the plan: one value for all sources.
-    rows = rows.join(plan.select("_src", "_shards"), same).withColumn("_shard", shard).drop("_src", "_shards")
-    rows = rows.join(quotas.withColumnRenamed("_shard", "_s"), same & (F.col("_shard") == F.col("_s")))
-    # Texts without words take nothing wherever they stand; kept apart, they don't fill the shards that one task orders.
-    rows = rows.withColumn("_blank", F.when(F.col("size") == 0, F.pmod("_h", F.lit(1 << 16))).otherwise(F.lit(-1)))
-    order = Window.partitionBy("source", "_shard", "_blank").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_upto", F.sum("size").over(order))
+    plan = by_source.select(F.col("source").alias("_src"), "_rank", "_shards")
+    if broadcastable(by_source):
+        plan = F.broadcast(plan)
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Rows with their cell: the source's rank, the shard, and the range of the seeded order within it.
+
+        A shard is a run of the hash's last 20 bits, or of all its bits where there are more shards than those tell
+        apart; a range is a run of its first bits, so ranges follow each other in the seeded order. Texts without words
+        take nothing wherever they stand: kept apart in ranges below 0, they don't fill those that one task orders.
+        """
+        shard = F.pmod("_h", F.greatest(F.lit(1 << 20).cast("long"), F.col("_shards"))) % F.col("_shards")
+        worded = F.shiftright("_h", HASH_BITS - RANGE_BITS)
+        part = F.when(F.col("size") > 0, worded).otherwise(-1 - F.pmod("_h", F.lit(1 << 16))).cast("int")
+        return df.join(plan, F.col("source").eqNullSafe(F.col("_src"))).withColumn("_shard", shard).withColumn("_part", part).drop("_src", "_shards")
+
+    ranges = placed(narrow).groupBy("_rank", "_shard", "_part").agg(F.sum("size").alias("_in"))
+    shards = ranges.groupBy("_rank", "_shard").agg(F.sum("_in").alias("_words"))
+    shards = shards.join(by_source.select("_rank", "source_size", "target", "_block", "_quota"), "_rank")
+    shards = apportion(shards, ["_rank"], ["_shard"], "_words", "_quota", "_blocks")
+    quotas = shards.select("_rank", "_shard", "source_size", "target", "_words", F.least(F.col("_blocks") * F.col("_block"), repeat * F.col("_words")).alias("_take"))
+    before = F.sum("_in").over(Window.partitionBy("_rank", "_shard").orderBy("_part")) - F.col("_in")
+    cells = ranges.withColumn("_before", before).drop("_in").join(quotas, ["_rank", "_shard"])
+    cells = cells.withColumnsRenamed({"_rank": "_r", "_shard": "_s", "_part": "_p"})
+    # The join deals rows by cell and the window keeps that dealing, so texts that come along move once.
+    rows = placed(rows).join(cells, (F.col("_rank") == F.col("_r")) & (F.col("_shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))
+    order = Window.partitionBy("_rank", "_shard", "_part").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_upto", F.col("_before") + F.sum("size").over(order))
     passes = F.when(F.col("_words") > 0, F.expr("_take div _words")).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumn("_passes", passes)
     left = F.col("_take") - F.col("_passes") * F.col("_words") - (F.col("_upto") - F.col("size"))
