@@ -77,6 +77,7 @@ ORACLES: dict[str, str] = {
     "enrich_left_join": f"WITH {_POPULAR}, tit AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0) SELECT pop.a, pop.b, w, coalesce(y.p_name, CAST(pop.b AS VARCHAR)) AS b_title, coalesce(x.p_name, CAST(pop.a AS VARCHAR)) AS a_title FROM pop LEFT JOIN tit x ON x.p_partkey = pop.a LEFT JOIN tit y ON y.p_partkey = pop.b",
     "enrich_unknown": f"WITH {_COUNTS} SELECT b, n, coalesce(p_name, 'UNKNOWN') AS title FROM cnt LEFT JOIN part ON p_partkey = b AND p_partkey % 2 = 0",
     "enrich_titles": f"WITH {_POPULAR} SELECT pop.a, pop.b, w, coalesce(y.p_name, CAST(pop.b AS VARCHAR)) AS b_title, coalesce(x.p_name, CAST(pop.a AS VARCHAR)) AS a_title FROM pop LEFT JOIN part x ON x.p_partkey = pop.a LEFT JOIN part y ON y.p_partkey = pop.b",
+    "enrich_unlabelled": "SELECT d.doc_id, d.source, coalesce(m.mark, 'UNKNOWN') AS quality FROM documents d LEFT JOIN (SELECT doc_id, min(CAST(quality AS VARCHAR)) AS mark FROM labels GROUP BY doc_id) m ON m.doc_id = d.doc_id",
     "loaded_partitions": f"SELECT CAST(s_suppkey % {PARTS} AS INTEGER) AS source_p, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS total FROM supplier GROUP BY 1",
     "master_dict": f"SELECT id, l_partkey, coalesce(p_name, 'UNKNOWN') AS title FROM (SELECT l_partkey, (row_number() OVER (PARTITION BY l_partkey % {PARTS} ORDER BY l_partkey) - 1) * {PARTS} + l_partkey % {PARTS} AS id FROM (SELECT DISTINCT l_partkey FROM lineitem)) LEFT JOIN part ON p_partkey = l_partkey",
     "broadcast_lookup": "SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",

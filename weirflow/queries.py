@@ -289,6 +289,14 @@ def enrich_titles(spark, sf_dir):
     return rel.enrich(df, titles(spark, sf_dir), "a", "p_partkey", "p_name", "a_title")
 
 
+@query
+def enrich_unlabelled(spark, sf_dir):
+    """The quality of every document from the whole table of labels, which doesn't name them all."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min(F.col("quality").cast("string")).alias("mark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return rel.enrich(docs, marks, "doc_id", "doc_id", "mark", "quality", F.lit("UNKNOWN"))
+
+
 @query
 def loaded_partitions(spark, sf_dir):
     """A table that every partition loads: its rows tell which partition they are from."""
