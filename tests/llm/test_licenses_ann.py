@@ -129,6 +129,23 @@ def test_search_edges(spark, monkeypatch, block):
         assert ann.search(nobody, lambda c: F.pmod(c, F.lit(20)) == 0).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_are_found_where_codes_cannot_tell(spark, seed):
+    """Crowds of near copies with one code, lengths over many orders and hardly any books: still every nearest one."""
+    rng = np.random.default_rng(seed)
+    wide = rng.normal(size=(1500, 24)) * np.exp(rng.normal(size=(1500, 1)) * 3)
+    crowd = rng.normal(size=(3, 1, 24)) + 1e-3 * rng.normal(size=(3, 300, 24))
+    x = np.concatenate((wide, crowd.reshape(-1, 24), np.full((100, 24), 2.0)))[rng.permutation(2500)]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: F.pmod(c, F.lit(20)) == 0, books=2, sample=600)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: [i for i, _ in w] for q, w in brute_search(rows, 20, 20).items()}
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) == 1.0
+
+
 def test_codes_come_near():
     x = np.random.default_rng(0).normal(size=(600, 16))
     books = ann.train(x, books=4, words=32)

@@ -2,13 +2,16 @@
 
 A vector is coded as a sum of full-dimensional codewords, one from each of BOOKS codebooks: books are
 k-means of the residuals the books before left, trained on a bounded sample (SAMPLE vectors), and codes
-are found by beam search over all books. A code keeps the norms of its vector and of its sum. A query's
+are found by beam search over all books. Vectors are coded at unit length, so their lengths play no part.
+A code keeps its vector's length and how far its sum, brought to that length, lies from the vector. A query's
 inner products with all codewords form a lookup table; codes are scored by adding table entries, scaled
-by the stored norms. The best scores of all rows (see `reranked`; ties at the edge by smaller id) are
-computed exactly in double precision on the original vectors, and the best `top` of them are the result.
+by the stored lengths. The best scores of a block (see `reranked`; ties at the edge by smaller id) are
+computed exactly in double precision on the original vectors. They give the score to beat: every other row
+whose score by code plus its stored distance times the query's length reaches it is computed exactly too
+(Cauchy-Schwarz), so none of the `top` is missed, however badly codes fit the rows; then more is computed.
 
-Codes and queries meet in blocks of bounded size, BLOCK rows by QUERIES queries; every row is scored.
-Original vectors move only to the queries whose candidates they are.
+Codes and queries meet in blocks of bounded size, at most BLOCK rows by QUERIES queries; every row is scored.
+Each block gives its best `top` for each query, and the best of those are the result.
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take
 no part. Ids that tie in score go by smaller id; a query's own id is never its neighbour. Rows of one id
 count once, as a query and as a candidate: as the least of their vectors. An empty table gives no rows.
@@ -26,7 +29,11 @@ from pyspark.sql.window import Window
 from weirflow.llm.common import saved, ship
 
 BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 24, 256, 20_000, 8, 8
-BLOCK, QUERIES, TOP = 1 << 16, 2048, 20
+BLOCK, QUERIES, TOP = 1 << 16, 1 << 13, 20
+#: Numbers of vectors that a block holds.
+BLOCK_NUMBERS = 1 << 23
+#: Share of a vector's length by which single-precision sums of table entries may be off.
+ROUNDING = 1e-5
 
 
 def reranked(rows: int, top: int = TOP) -> int:
@@ -103,6 +110,14 @@ def matrix(column: pa.Array, n: int) -> np.ndarray:
     return np.array(column.flatten()).reshape(n, -1)
 
 
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at length 1 and their lengths, in double precision; squares of large and small numbers don't overflow."""
+    most = np.abs(x).max(axis=1)
+    x = x / most[:, None]
+    length = np.linalg.norm(x, axis=1)
+    return x / length[:, None], most * length
+
+
 def best_codes(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: np.ndarray, most: int):
     """(query place, row place, score) of each query's best `most` codes; rows are in order of id."""
     m, k, _ = books.shape
@@ -124,6 +139,36 @@ def best_codes(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, code
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def nearest(q: np.ndarray, own: np.ndarray, near: np.ndarray, slack: np.ndarray, x: np.ndarray, most: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row places, scores) of the `top` rows of largest inner product with q, ties by place; `own` rows don't count.
+
+    `near` is within `slack` of each row's product with q at length 1. The best `most` by `near` give a score that the
+    result reaches at least; every row that may reach it is computed.
+    """
+    near[own] = -np.inf
+    held = len(near) - int(own.sum())
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0)
+    direction, length = unit(q[None])
+    direction = direction[0]
+    n = min(max(most, top), held)
+    first = np.argpartition(near, len(near) - n)[len(near) - n :]
+    if n < held:
+        exact = x[first] @ direction
+        least = np.partition(exact, n - top)[n - top]
+        pick = np.flatnonzero((near + slack >= least) & ~own)
+    else:
+        pick = first
+    if len(pick) > top:
+        # products by BLAS differ from sums in order by less than this
+        fast = (x @ direction)[pick] if len(pick) > len(x) // 8 else x[pick] @ direction
+        edge = np.partition(fast, len(fast) - top)[len(fast) - top]
+        pick = pick[fast >= edge - slack[pick] * 1e-6 - abs(edge) * 1e-9]
+    score = (x[pick] * q).sum(axis=1)
+    order = np.lexsort((pick, -score))[:top]
+    return pick[order], score[order]
+
+
 def search(vectors: DataFrame, is_query, top: int = TOP, rerank: int | None = None, books: int = BOOKS, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the `top` rows of largest inner product found for every query row."""
     spark = vectors.sparkSession
@@ -137,48 +182,53 @@ def search(vectors: DataFrame, is_query, top: int = TOP, rerank: int | None = No
     share = int(min(1.0, sample / total) * (1 << 30))
     chosen = df.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30)) <= share).toArrow()  # about `sample` vectors
     chosen = (chosen if chosen.num_rows else df.limit(1).toArrow()).sort_by("vec_id")
-    trained = train(matrix(chosen.column("v").combine_chunks(), chosen.num_rows), books)
+    trained = train(unit(matrix(chosen.column("v").combine_chunks(), chosen.num_rows).astype(np.float64))[0], books)
+    size = min(BLOCK, max(1024, BLOCK_NUMBERS // trained.shape[2]))
     shared = spark.sparkContext.broadcast(trained)  # books x words x dimensions: fixed size
 
     def code(batches):
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column("v"), batch.num_rows).astype(np.float64)
+                x, length = unit(matrix(batch.column("v"), batch.num_rows).astype(np.float64))
                 codes = encode(x, shared.value)
-                norm, length = np.linalg.norm(decode(codes, shared.value), axis=1), np.linalg.norm(x, axis=1)
-                scale = np.where(norm > 0, length / np.maximum(norm, 1e-30), 1.0)
-                yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in codes]), pa.array(scale)], ["vec_id", "v", "code", "scale"])
+                sums = decode(codes, shared.value).astype(np.float64)
+                norm = np.linalg.norm(sums, axis=1)
+                scale = np.where(norm > 0, 1 / np.maximum(norm, 1e-30), 1.0)
+                slack = np.linalg.norm(x - sums * scale[:, None], axis=1) + ROUNDING * np.maximum(1, scale)
+                yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in codes]), pa.array(scale * length), pa.array(slack * length)], ["vec_id", "v", "code", "scale", "slack"])
 
-    coded = saved(df.mapInArrow(code, f"vec_id {kind}, v {array}, code binary, scale double"))
+    coded = saved(df.mapInArrow(code, f"vec_id {kind}, v {array}, code binary, scale double, slack double"))
     asked = coded.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    blocks, groups = -(-total // BLOCK), max(1, -(-asked.count() // QUERIES))
+    blocks, groups = -(-total // size), max(1, -(-asked.count() // QUERIES))
     of = lambda c, salt, n: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = coded.select("vec_id", "code", "scale", of("vec_id", "block", blocks).alias("b"), each(groups).alias("g"))
+    rows = coded.select("vec_id", "v", "code", "scale", "slack", of("vec_id", "block", blocks).alias("b"), each(groups).alias("g"))
     tiles = asked.select("query_id", "q", of("query_id", "group", groups).alias("g"), each(blocks).alias("b"))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        fields = [("query_id", left.schema.field("query_id").type), ("vec_id", right.schema.field("vec_id").type), ("near", pa.float64())]
+        fields = [("query_id", left.schema.field("query_id").type), ("vec_id", right.schema.field("vec_id").type), ("score", pa.float64())]
         if not left.num_rows or not right.num_rows:
             return pa.schema(fields).empty_table()
         right = right.sort_by("vec_id")
         ids, query_ids = np.array(right.column("vec_id")), np.array(left.column("query_id"))
         codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        queries = matrix(left.column("q").combine_chunks(), left.num_rows)
-        q, r, near = best_codes(queries, query_ids, ids, codes, np.array(right.column("scale")), shared.value, most)
-        return pa.table([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(near)], schema=pa.schema(fields))
-
-    found = tiles.groupBy("b", "g").cogroup(rows.groupBy("b", "g")).applyInArrow(block, f"query_id {kind}, vec_id {kind}, near double")
-    order = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
-    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query_id", "vec_id")
-
-    def exact(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, q = (matrix(batch.column(c), batch.num_rows).astype(np.float64) for c in ("v", "q"))
-                yield pa.record_batch([batch.column("query_id"), batch.column("vec_id"), pa.array((x * q).sum(axis=1))], ["query_id", "vec_id", "score"])
-
-    pairs = found.join(coded.select("vec_id", "v"), "vec_id").join(asked, "query_id").select("query_id", "vec_id", "v", "q")
-    scored = pairs.mapInArrow(exact, f"query_id {kind}, vec_id {kind}, score double")
+        codes = np.ascontiguousarray(codes.T).astype(np.int64)
+        scale, slack = np.array(right.column("scale")), np.array(right.column("slack"))
+        x = matrix(right.column("v").combine_chunks(), len(ids)).astype(np.float64)
+        queries = matrix(left.column("q").combine_chunks(), left.num_rows).astype(np.float64)
+        tables = unit(queries)[0].astype(np.float32)
+        m, k, _ = shared.value.shape
+        found = []
+        for i in range(len(queries)):
+            table = (shared.value.reshape(m * k, -1) @ tables[i]).reshape(m, k)
+            near = table[0][codes[0]]
+            for j in range(1, m):
+                near += table[j][codes[j]]
+            pick, score = nearest(queries[i], ids == query_ids[i], near * scale, slack, x, most, top)
+            found.append((np.full(len(pick), i), pick, score))
+        q, r, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score)], schema=pa.schema(fields))
+
+    scored = tiles.groupBy("b", "g").cogroup(rows.groupBy("b", "g")).applyInArrow(block, f"query_id {kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
