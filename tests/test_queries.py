@@ -101,3 +101,28 @@ def test_large_sides_are_not_broadcast(spark):
 def test_plans_prune_and_push(spark):
     plan = queries.scan_parquet(spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan and "o_orderdate" not in plan.split("ReadSchema")[1]
+
+
+def test_pairs_meet_in_tasks_of_bounded_size(spark):
+    """Lists for keys and items of any heat: every pair once, no aggregate over fewer tasks than its pairs ask for, no exchange of pairs."""
+    rows = [(u, i, float(i % 5)) for u in range(30) for i in range(60) if (u * i) % 4 != 1 or i == 0] + [(None, 1, 1.0), (1, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, x int, w double")
+    held = [r for r in rows if r[0] is not None and r[1] is not None]
+    want = {}
+    for k, x, v in held:
+        for j, y, w in held:
+            if k == j and x < y:
+                n, s = want.get((x, y), (0, 0.0))
+                want[x, y] = (n + 1, s + v * w)
+    pairs = sum(n for n, _ in want.values())
+    for cell, most in ((1000, 10**6), (1000, 500), (7, 500), (7, 40)):
+        counts = rec.summed(df, "k", "x", F.count("*"), cell=cell, task_pairs=most)
+        assert sorted((r.x, r.y, r.w) for r in counts.collect()) == sorted((x, y, n) for (x, y), (n, _) in want.items())
+        sums = rec.summed(df, "k", "x", F.sum(F.col("wx") * F.col("wy")), "w", cell, most)
+        assert sorted((r.x, r.y, r.w) for r in sums.collect()) == sorted((x, y, s) for (x, y), (_, s) in want.items())
+        lists, by = rec.partners(df, "k", "x", cell=cell, task_pairs=most)
+        assert lists.rdd.getNumPartitions() >= pairs / most
+        moved = lists.groupBy(F.spark_partition_id()).agg(F.sum(F.size("ys")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        assert moved[1] == pairs and moved[0] < 10 * most
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan.split("Exchange")[1]
