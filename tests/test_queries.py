@@ -126,3 +126,26 @@ def test_pairs_meet_in_tasks_of_bounded_size(spark):
         assert moved[1] == pairs and moved[0] < 10 * most
         plan = counts._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan.split("Exchange")[1]
+
+
+def test_violations_within_and_between_tasks(spark, monkeypatch):
+    """Rows before their predecessor are counted within batches, across them and across tasks; a sort by ranges leaves none and no large task."""
+    rng = __import__("random").Random(4)
+    rows = [(rng.randrange(3), rng.choice([None, 1, 2, 3]), rng.choice([None, 0.5, float("nan"), 1.5])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p int, a long, b double").repartition(5).cache()
+    place = lambda x: (x is not None, x != x, x if x is not None and x == x else 0)
+    want, last = 0, {}
+    for r in df.collect():
+        key = (place(r.a), place(r.b))
+        want += r.p in last and last[r.p] > key
+        last[r.p] = key
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert rel.sorted_violations(df, "p", ["a", "b"]).first().violations == want > 0
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(rel, "RANGE_ROWS", 20)
+    ranged = rel.by_ranges(df, ["p", "a", "b"], 300)
+    assert rel.sorted_violations(ranged, "p", ["a", "b"]).first().violations == 0
+    assert ranged.rdd.getNumPartitions() > 5 and rel.sorted_violations(df.where("false"), "p", ["a"]).first().violations == 0
