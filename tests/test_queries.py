@@ -149,3 +149,10 @@ def test_violations_within_and_between_tasks(spark, monkeypatch):
     ranged = rel.by_ranges(df, ["p", "a", "b"], 300)
     assert rel.sorted_violations(ranged, "p", ["a", "b"]).first().violations == 0
     assert ranged.rdd.getNumPartitions() > 5 and rel.sorted_violations(df.where("false"), "p", ["a"]).first().violations == 0
+
+
+def test_buckets_are_taken_of_combined_records(spark):
+    """The string hash of a word is computed once for each producer and word, not for each occurrence: it stands above the first aggregate."""
+    plan = queries.word_count_graph(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.rpartition("Aggregate [")[2].split("\n", 1)[1]  # without what the aggregate gives out
+    assert "conv(" in plan and "conv(" not in below

@@ -21,6 +21,7 @@ import enum
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,13 +92,33 @@ class Output:
             return dealt(df, parts)
         return df.withColumn("p", self.shuffle(parts))
 
+    def keyed(self, df: DataFrame, parts: int) -> bool:
+        """Whether the partitioner reads only columns by which records are combined."""
+        if not self.combines or self.shuffle is None or self.shuffle == "round_robin":
+            return False
+        try:
+            df.select(*[c for c in self.kind.keys(self.order) if c in df.columns]).select(self.shuffle(parts))
+        except AnalysisException:
+            return False
+        return True
+
     def columns(self) -> list[Column]:
         """Sort columns of the port's ordering, if it has one."""
         return self.kind.order(self.order) if self.kind is not None and self.order is not None else []
 
     def finish(self, df: DataFrame, parts: int) -> DataFrame:
-        """Route, then combine what each producer partition sends to each bucket; a reader combines over producers."""
-        return self.combine(self.route(df, parts), "made_in")
+        """Combine what each producer partition sends to each bucket; a reader combines over producers.
+
+        A bucket that follows from the combined key is taken once for each combined record, not for each record made.
+        """
+        if not self.keyed(df, parts):
+            return self.combine(self.route(df, parts), "made_in")
+        made = self.combine(df)
+        if "p" in made.columns:
+            made = made.withColumnRenamed("p", "made_in")
+        # always true; it keeps Spark from moving filters on p, and with them the partitioner, below the aggregate
+        bucket = F.when(F.spark_partition_id() >= 0, self.shuffle(parts))
+        return made.select(bucket.alias("p"), *made.columns)
 
 
 @dataclass
