@@ -1,6 +1,7 @@
 """Every core query against its SQL on the smallest tables, and properties that hold for any data."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -156,3 +157,40 @@ def test_buckets_are_taken_of_combined_records(spark):
     plan = queries.word_count_graph(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     below = plan.rpartition("Aggregate [")[2].split("\n", 1)[1]  # without what the aggregate gives out
     assert "conv(" in plan and "conv(" not in below
+
+
+def test_lists_are_made_in_tasks_of_bounded_size(spark):
+    """Tasks that make lists grow in number with the pairs, are never merged by the planner, and give every pair once, of hot keys too."""
+    rows = [(u, i) for u in range(40) for i in range(50) if (u * i) % 3 != 1]
+    df = spark.createDataFrame(rows, "k int, x int")
+    users = {}
+    for k, x in rows:
+        users.setdefault(k, set()).add(x)
+    want = sorted((x, y) for xs in users.values() for x in xs for y in xs if x < y)
+    for cell, least in ((1000, 1), (7, 3)):
+        lists, by = rec.partners(df, "k", "x", cell=cell, task_pairs=200)
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+        made = [int(n) for n in re.findall(r"hashpartitioning\(_[uv]#.*?, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert len(made) >= least and min(made) >= len(want) / 200 / rec.TASKS_FED > 4
+        assert sorted((r.x, r.y) for r in lists.select("x", F.explode("ys").alias("y")).collect()) == want
+
+
+def test_parts_of_hot_keys_meet_lists_in_places_of_their_own(spark):
+    """No place of the join takes all rows of a hot key: each takes a part and one list."""
+    df = spark.createDataFrame([("hot", i) for i in range(300)], "k string, x int")
+    lists, _ = rec.partners(df, "k", "x", cell=20, task_pairs=500)
+    join = next(line for line in lists._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    assert join.count(" = ") == 3
+    assert rec.meeting(df, "k", "x", cell=20, task_pairs=500).count() == 300 * 299 // 2
+
+
+def test_sessions_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Orders meet lines, and repeats go, in tasks whose number grows with the rows; small tables are left to the planner."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = queries.sessions(spark, SF)
+    assert "REPARTITION_BY_NUM" not in plan(few)
+    monkeypatch.setattr(rel, "TASK_ROWS", 500)
+    many = queries.sessions(spark, SF)
+    made = [int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan(many))]
+    assert len(made) >= 2 and min(made) >= queries.table(spark, SF, "lineitem").count() / 500
+    assert many.exceptAll(few).count() == 0 and many.count() == few.count() == few.distinct().count()
