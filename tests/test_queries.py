@@ -194,3 +194,15 @@ def test_sessions_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
     made = [int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan(many))]
     assert len(made) >= 2 and min(made) >= queries.table(spark, SF, "lineitem").count() / 500
     assert many.exceptAll(few).count() == 0 and many.count() == few.count() == few.distinct().count()
+
+
+def test_best_neighbours_are_found_before_they_meet_counts(spark):
+    """Ties go to the smaller item, and the join with counts stands above the choice, which is an aggregate."""
+    pairs = spark.createDataFrame([(1, 3, 0.5), (1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.7), (3, 1, 0.5), (3, 2, 0.7), (4, 1, 0.1)], "a long, b long, w double")
+    counts = spark.createDataFrame([(1, 30), (2, 25), (3, 20), (4, 90)], "b long, n long")
+    best = rec.best_neighbour(pairs, counts, 20, 0.2)
+    assert sorted(map(tuple, best.collect())) == [(1, 2, 0.5, 30.0, 25.0), (2, 3, 0.7, 25.0, 20.0), (2, 3, 0.7, 25.0, 20.0)]
+    assert [tuple(r) for r in rec.reciprocal(best).collect()] == [(2, 3, 0.7, 25.0, 20.0)]
+    assert rec.best_neighbour(pairs, counts, 21, 0.2).collect() == rec.best_neighbour(pairs.where("a = 1"), counts, 21, 0.2).collect()
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.rindex("Join") < plan.index("Aggregate")
