@@ -206,3 +206,31 @@ def test_best_neighbours_are_found_before_they_meet_counts(spark):
     assert rec.best_neighbour(pairs, counts, 21, 0.2).collect() == rec.best_neighbour(pairs.where("a = 1"), counts, 21, 0.2).collect()
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.rindex("Join") < plan.index("Aggregate")
+
+
+def _dealt(df, *names):
+    """Tasks of the planned exchanges by a number, by the column they deal by; and the columns that the planner deals rows by on its own."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), (\w+)", plan)
+    return [(c, int(n)) for c, n, how in found if how == "REPARTITION_BY_NUM" and c in names], [c for c, _, how in found if how != "REPARTITION_BY_NUM" and c in names]
+
+
+@pytest.mark.parametrize("name, columns", [("tfidf_norm", "bba"), ("feature_lists", ["b", "b", "a", "feature"]), ("complements_topk", "bbaa")])
+def test_what_follows_pairs_runs_in_tasks_of_bounded_size(spark, monkeypatch, name, columns):
+    """Sorts and windows over rows of pairs: their tasks follow the pairs counted, and the planner, which would merge them, deals none again."""
+    query = queries.queries()[name]
+    want = query(spark, SF)
+    pairs = rec.counted_pairs(queries.sessions(spark, SF), "a", "b").pairs
+    monkeypatch.setattr(rel, "TASK_ROWS", 2000)
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = query(spark, SF)
+        dealt, left = _dealt(df, "a", "b", "feature", "_key")
+        dealt = [(c, n) for c, n in dealt if n == -(-int(pairs / rec.TASKS_FED) // 2000)]
+        assert sorted(c for c, _ in dealt) == sorted(columns) and dealt[0][1] > 4
+        # counts of items are combined by the planner; what is joined or ranked is not dealt by it
+        assert set(left) <= {"b"}
+        assert table(df.collect(), df.columns) == table(want.collect(), want.columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
