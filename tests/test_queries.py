@@ -234,3 +234,23 @@ def test_what_follows_pairs_runs_in_tasks_of_bounded_size(spark, monkeypatch, na
         assert table(df.collect(), df.columns) == table(want.collect(), want.columns)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+
+
+def test_pairs_meet_titles_in_tasks_of_bounded_size(spark, monkeypatch):
+    """A dictionary that isn't small meets pairs in tasks that follow the pairs counted; a small one goes to every task."""
+    want = queries.enrich_left_join(spark, SF)
+    pairs = rec.counted_pairs(queries.sessions(spark, SF), "a", "b").pairs
+    monkeypatch.setattr(rel, "TASK_ROWS", 2000)
+    small = queries.enrich_left_join(spark, SF)
+    assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rel, "BROADCAST_ROWS", 10)
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.enrich_left_join(spark, SF)
+        dealt, left = _dealt(df, "a", "b", "_key")
+        tasks = -(-int(pairs / rec.TASKS_FED) // 2000)
+        assert sorted(d for d in dealt if d[1] == tasks) == [("_key", tasks), ("_key", tasks), ("a", tasks), ("b", tasks)] and tasks > 4 and not left
+        assert table(df.collect(), df.columns) == table(small.collect(), df.columns) == table(want.collect(), df.columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
