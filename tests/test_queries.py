@@ -1,5 +1,6 @@
 """Every core query against its SQL on the smallest tables, and properties that hold for any data."""
 
+import functools
 import os
 import re
 
@@ -254,3 +255,26 @@ def test_pairs_meet_titles_in_tasks_of_bounded_size(spark, monkeypatch):
         assert table(df.collect(), df.columns) == table(small.collect(), df.columns) == table(want.collect(), df.columns)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+
+
+def test_routed_pairs_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    """filter_route: the number of tasks of every exchange follows rows or pairs, none is left to the planner, and pairs don't move once they are counted."""
+    want = queries.filter_route(spark, SF)
+    counted = rec.counted_pairs(queries.sessions(spark, SF), "a", "b")
+    for module in (rel, rec):
+        monkeypatch.setattr(module, "TASK_ROWS", 500)
+    monkeypatch.setattr(rec, "summed", functools.partial(rec.summed, task_pairs=2000))
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.filter_route(spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        moved = re.findall(r"Exchange (\w+)\(.*?(\d+)\), (\w+)", plan)
+        assert len(moved) >= 5 and {how for *_, how in moved} == {"REPARTITION_BY_NUM"}
+        (first, n, _), *below = moved  # from the last exchange to the first
+        assert first == "rangepartitioning" and int(n) >= counted.pairs / 2000 > 20
+        assert min(int(n) for _, n, _ in below) >= counted.rows / 500 > 4
+        assert "Aggregate" in plan.split("Exchange")[0] and "Join" not in plan.split("Exchange")[0]
+        assert table(df.collect(), df.columns) == table(want.collect(), want.columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
